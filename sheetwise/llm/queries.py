@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sheetwise.llm import quality_rules
+from sheetwise.llm import bpe, packing, quality_rules, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op8_packing": packing.op8_packing,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
