@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sheetwise.llm import bpe, packing, quality_rules, token_counts
+from sheetwise.llm import bpe, ngram_jaccard, packing, quality_rules, token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
