@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sheetwise.llm import bpe, ngram_jaccard, packing, quality_rules, token_counts
+from sheetwise.llm import bpe, class_lm, ngram_jaccard, packing, quality_rules, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_class_lm": class_lm.op3_class_lm,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_packing": packing.op8_packing,
