@@ -40,6 +40,8 @@ SMALL = 32
 PARTS = 0.36
 #: Bands whose sets have fewer shingles than this have a part for each shingle.
 SINGLE = 64
+#: Pairs of ids, 16 bytes each, that may be broadcast.
+BROADCAST = 1_000_000
 #: Digests of sets that a task remembers, so as to sign copies once.
 COPIES = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
@@ -135,16 +137,22 @@ def _set_rows(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(other, "b")
-    return both.filter(F.expr("100L * size(array_intersect(x, y)) >= 75L * (size(x) + size(y) - size(array_intersect(x, y)))")).select("a", "b")
+    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union.
+
+    Only the sets that the pairs name are shuffled: up to ``BROADCAST`` pairs are sent to all tasks to choose them, more
+    are joined.
+    """
+    pairs = materialize(pairs, "pairs")
+    named = F.broadcast if pairs.count() <= BROADCAST else lambda x: x
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(named(pairs), "a")
+    other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(named(pairs.select("b").distinct()), "b", "left_semi")
+    both = one.join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.expr("100L * common >= 75L * (size(x) + size(y) - common)")).select("a", "b")
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The distinct representatives of each signature group that has more than one component."""
-    known = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = rows.select("sig", "id", "n", "meta").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_groups = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n_sets")).filter("lo < hi")
     return known.join(open_groups.drop("lo", "hi"), "sig")
 
@@ -158,7 +166,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     known = docs.filter("doc_id is not null")
     group = "over (partition by sig, check)"
     found = _signature_rows(known, text).selectExpr("*", f"count(*) {group} as n_group", f"min(id) {group} as hub")
-    grouped = materialize(found.filter("n_group > 1 or check != 0"), "signatures")
+    grouped = materialize(found.filter("n_group > 1 or check != 0").drop("n_group"), "signatures")
     members = grouped.filter("check != 0").select("id", F.col("meta").alias("n"), F.when(F.col("meta") > 0, F.col("hub")).otherwise(F.col("id")).alias("rep"))
     copies = members.select("id", "rep", "n").distinct()
     shared = grouped.filter("check = 0").select("id", "sig", "meta")
@@ -171,14 +179,15 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     first = rows.filter("id > least").groupBy("id").agg(F.min("least").alias("b")).select(F.col("id").alias("a"), "b")
     links = materialize(_linked(first, sets), "links")
-    rows = rows.select("sig", "id", "n", "meta")
+    labels = components(links)
+    rest = materialize(_mixed(rows, labels), "mixed")  # a group of one component stays so
     for hub in ("least", "most"):
-        labels = components(links)
         ends = labels.select(F.col("id").alias(hub), F.col("component").alias("hub_component"))
-        pairs = _mixed(rows, labels).filter(f"id != {hub}").join(ends, hub, "left").filter(f"component != coalesce(hub_component, {hub})").select(F.greatest("id", hub).alias("a"), F.least("id", hub).alias("b")).distinct()
+        pairs = rest.filter(f"id != {hub}").join(ends, hub, "left").filter(f"component != coalesce(hub_component, {hub})").select(F.greatest("id", hub).alias("a"), F.least("id", hub).alias("b")).distinct()
         links = materialize(links.unionByName(_linked(pairs, sets)), "links")
-    labels = components(links)
-    rest = materialize(_mixed(rows, labels).withColumn("family", F.expr("shiftright(meta, 32)")), "mixed")
+        labels = components(links)
+        rest = materialize(_mixed(rest, labels), "mixed")
+    rest = rest.withColumn("family", F.expr("shiftright(meta, 32)"))
     full = rest.filter(F.col("n_sets") > SMALL)
     spare = F.expr("(meta & 4294967295L) - 2147483648L")
     saturated = full.groupBy("id", "family").agg(F.count("*").alias("in_large"), F.min(spare).alias("spare")).filter("in_large > spare").select("id", "family")
