@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -39,18 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    free: let Spark drop the shuffle files of finished jobs now.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(df.sparkSession)
+    if free:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now; it does so when their plans are collected as garbage."""
+    """Spark drops a job's shuffle files once its plan is collected as garbage; the first pass frees what still refers to
+    the last job."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    spark.sparkContext._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
