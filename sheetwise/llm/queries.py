@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from sheetwise.llm import bpe, class_lm, ngram_jaccard, packing, quality_rules, token_counts
+from sheetwise.llm import bpe, class_lm, fingerprints, ngram_jaccard, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_class_lm": class_lm.op3_class_lm,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
