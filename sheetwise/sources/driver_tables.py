@@ -76,6 +76,12 @@ SELECT event_id AS candidate_id, user_id % 25 AS sheet_id, CAST(CAST(floor(value
        CASE WHEN event_id % 97 = 0 THEN CAST(floor(value * 100) AS BIGINT) % 100 < 62 ELSE CAST(floor(value * 100) AS BIGINT) % 100 >= 62 END AS is_wall,
        event_type, CAST(floor(value) AS BIGINT) % 3 AS flags
 FROM events"""
+#: Walls as segments along either axis.
+CROSS_WALLS = """
+SELECT c_custkey AS wall_id, CAST(c_nationkey AS BIGINT) AS sheet_id, CAST(c_custkey * 37 % 1000 AS DOUBLE) / 10 AS x0, CAST(c_custkey * 91 % 1000 AS DOUBLE) / 10 AS y0,
+       CAST(c_custkey * 37 % 1000 AS DOUBLE) / 10 + CASE WHEN c_custkey % 2 = 0 THEN CAST(5 + c_custkey % 23 AS DOUBLE) ELSE 0.0 END AS x1,
+       CAST(c_custkey * 91 % 1000 AS DOUBLE) / 10 + CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE CAST(5 + c_custkey % 19 AS DOUBLE) END AS y1
+FROM customer"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "embeddings")
 
 

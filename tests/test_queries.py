@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sheetwise.plans import catalog
+from sheetwise.plans import catalog, catalog_geometry  # noqa: F401
 from sheetwise.sources.driver_tables import TABLES
 
 
