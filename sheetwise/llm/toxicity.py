@@ -37,8 +37,8 @@ BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
 #: Bytes of the word beginnings that have vectors of their own.
 BEGINNINGS = range(4, 11)
-SAMPLE = 2500
-LONGEST = 50_000
+SAMPLE = 1000
+LONGEST = 20_000
 CLEAN_WINDOWS = 6
 #: Epochs, of which there are more where they'd make fewer than ``STEPS`` steps.
 EPOCHS = 6
@@ -82,6 +82,13 @@ def character_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes)[order].astype("i8"), np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def grams_of_many(words: list[bytes], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """character_grams of a long list, with little memory."""
+    parts = [character_grams(words[k : k + step]) for k in range(0, len(words), step)]
+    base = np.cumsum([0, *(len(b) for b, _ in parts)])
+    return np.concatenate([b.astype("u2") for b, _ in parts]), np.concatenate([s + at for (_, s), at in zip(parts, base)])
+
+
 def word_buckets(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.strip(_EDGE)) % BUCKETS for w in words), "i8", len(words))
 
@@ -185,7 +192,7 @@ class Network:
         return g, d_gates
 
 
-def _lay(windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _lay(windows: list) -> tuple[np.ndarray, np.ndarray]:
     at, mask = np.zeros((WINDOW, len(windows)), "i8"), np.zeros((WINDOW, len(windows)), "f4")
     for k, w in enumerate(windows):
         at[: len(w), k], mask[: len(w), k] = w, 1
@@ -205,17 +212,14 @@ class _Adam:
             p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype("f4")
 
 
-def _suspects(documents: list[list[bytes]], labels: np.ndarray) -> list[int]:
-    """Of each document the position of the word whose beginning has the highest log-odds over documents."""
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in documents for w in d))}
-    begun = beginnings(list(vocabulary))
+def _suspects(documents: list[np.ndarray], labels: np.ndarray, begun: np.ndarray) -> list[int]:
+    """Of each document the position of the word with a beginning of the highest log-odds over documents."""
     seen = np.zeros((2, BUCKETS))
     for d, y in zip(documents, labels):
-        ids = np.fromiter((vocabulary[w] for w in set(d)), "i8")
-        seen[y, np.unique(begun[ids])] += 1
+        seen[y, np.unique(begun[np.unique(d)])] += 1
     share = (seen + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
     best = np.log(share[1] / share[0])[begun].max(1)
-    return [int(np.argmax(best[[vocabulary[w] for w in d]])) for d in documents]
+    return [int(np.argmax(best[d])) for d in documents]
 
 
 def train(rows: list[tuple[str, int]], seed: int = SEED) -> Network | None:
@@ -228,10 +232,11 @@ def train(rows: list[tuple[str, int]], seed: int = SEED) -> Network | None:
     rng, net = np.random.default_rng(seed), Network(seed)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in documents for w in d))}
     words = list(vocabulary)
-    buckets, starts = character_grams(words)
-    ends, whole, begun = np.append(starts[1:], len(buckets)), word_buckets(words), beginnings(words)
-    coded = [[vocabulary[w] for w in d] for d in documents]
-    adam, suspects = _Adam(net.p), _suspects(documents, labels)
+    buckets, starts = grams_of_many(words)
+    ends, whole, begun = np.append(starts[1:], len(buckets)), word_buckets(words), beginnings(words).astype("u2")
+    coded = [np.fromiter((vocabulary[w] for w in d), "i4", len(d)) for d in documents]
+    del documents, rows, vocabulary
+    adam, suspects = _Adam(net.p), _suspects(coded, labels, begun)
     per_epoch = 1 + int((1 + CLEAN_WINDOWS * (labels == 0).mean()) * len(coded) / BATCH)
     epochs = max(EPOCHS, -(-STEPS // per_epoch))
     for epoch in range(epochs):
@@ -281,9 +286,9 @@ def _centre(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
 
-def _worst(net: Network, words: list[bytes], coded: list[list[int]]) -> tuple[list[int], np.ndarray]:
+def _worst(net: Network, words: list[bytes], coded: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
     """Of each document the middle of its window with the highest logit, and that logit."""
-    gates = net.gates(words)
+    gates = np.concatenate([net.gates(words[k : k + 20_000]) for k in range(0, len(words), 20_000)])
     spans = [(k, s, e) for k, d in enumerate(coded) for s, e in windows_of(len(d))]
     best: dict[int, tuple[float, int]] = {}
     for i in range(0, len(spans), 8192):
