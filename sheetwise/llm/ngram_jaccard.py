@@ -8,11 +8,13 @@ of its whole content there. One of the first D+1 non-empty parts of either set i
 pair shares a signature. (Sets with fewer non-empty parts than D+1 also sign each shingle by itself.) Documents that
 share a signature are candidates, and candidates are verified on whole sets.
 
-Groups are never expanded into all pairs. Equal sets meet through a 128-bit digest and are one representative. In each
-signature group, members are first verified against one hub, then against another; what is linked becomes one
-component. Only groups that still hold several components yield further pairs, of different components: all, in groups
-of up to ``SMALL`` sets; in larger ones only between sets that have more signatures in such groups than their spare,
-since any other set still has D+1 signatures elsewhere and so meets each partner in another group.
+Groups are never expanded into all pairs. Equal sets meet through a 128-bit digest and are one representative. Each set
+is first verified against the hub with which it shares most signatures (a group's hub is its least id); what is linked
+becomes one component. Only groups that still hold several components yield further pairs, of different components:
+all, in groups of up to ``SMALL`` sets. Larger groups concern only sets that have more signatures in such groups than
+their spare, since any other set still has D+1 signatures elsewhere and so meets each partner in another group. Those
+are compared in blocks, by counts of their shingles in parts of the hash range, and only pairs leave that these exact
+bounds don't rule out.
 
 Cases: documents without words, empty or null, have the set size 0 and are linked with nothing. A row without doc_id
 gets its set size and no component. Rows that repeat a doc_id are one document, each row being returned.
@@ -35,7 +37,9 @@ from sheetwise.runtime import materialize
 
 SHINGLE = 5
 #: Groups of up to so many sets are compared in full after the hubs.
-SMALL = 32
+SMALL = 6
+#: Members of larger groups are compared in blocks of this size.
+BLOCK = 1024
 #: Parts of a band for each shingle of its largest set.
 PARTS = 0.36
 #: Bands whose sets have fewer shingles than this have a part for each shingle.
@@ -47,7 +51,8 @@ COPIES = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 
 SIGNATURES = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "sig", "check", "meta")])
-SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.ByteType())), T.StructField("fine", T.BinaryType())])
+PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in "ab"])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +100,7 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         taken = found[: need + max(2, need * 3 // 20)]
         families = [(j, taken, len(taken) - need)] + ([(64 + j, shingles, size - need)] if len(taken) < need else [])
         for family, x, spare in families:
-            sigs.append(_mix(x + np.uint64(family + 1) * _ODD[2]))
+            sigs.append(_mix(x + np.array([family + 1], "u8") * _ODD[2]))
             metas.append(np.full(len(x), (family << 32) + spare + (1 << 31), "i8"))
     return np.concatenate(sigs), np.concatenate(metas)
 
@@ -125,13 +130,24 @@ def _signature_rows(docs: DataFrame, text: str) -> DataFrame:
     return map_batches(docs.select("doc_id", text), run, SIGNATURES)
 
 
+def part_counts(shingles: np.ndarray, fewer: int = 3) -> np.ndarray:
+    """How many shingles each of some size/4 equal parts of the hash range holds, up to 127 (with fewer = 0, each of some
+    2 * size parts); the number of parts is a power of two, so that neighbours can be added to compare sets of different
+    bands."""
+    bits = max(3, len(shingles).bit_length() - fewer)
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits), 127).astype("i1")
+
+
+def _lists(parts: list[np.ndarray], kind: str) -> pa.Array:
+    ends = pa.array(np.cumsum([0, *map(len, parts)]).astype("int32"))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)))
+
+
 def _set_rows(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype("int32"))
-            values = pa.array(np.concatenate([np.zeros(0, "u8"), *sets]).view("i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, values)], schema=arrow_schema(SETS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([x.view("i8") for x in sets], "i8"), _lists([part_counts(x) for x in sets], "i1"), pa.array([part_counts(x, 0).tobytes() for x in sets])], schema=arrow_schema(SETS))
 
     return map_batches(docs.select("doc_id", text), run, SETS)
 
@@ -139,10 +155,15 @@ def _set_rows(docs: DataFrame, text: str) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 75 * union.
 
-    Only the sets that the pairs name are shuffled: up to ``BROADCAST`` pairs are sent to all tasks to choose them, more
-    are joined.
+    First by the counts of their parts, whose differences add up to no more than the sets' own: that is exact, and keeps
+    nearly all pairs of unlike sets from moving whole sets. Then only the sets that the rest names are shuffled: up to
+    ``BROADCAST`` pairs are sent to all tasks to choose them, more are joined.
     """
-    pairs = materialize(pairs, "pairs")
+    counts = lambda name: sets.select(F.col("id").alias(name), F.col("counts").alias(f"p{name}"), F.size("shingles").alias(f"n{name}"))
+    folded = "if(size({0}) > size({1}), transform(sequence(0, size({1}) - 1), i -> cast({0}[2 * i] as int) + {0}[2 * i + 1]), transform({0}, x -> cast(x as int)))"
+    apart = f"aggregate(zip_with({folded.format('pa', 'pb')}, {folded.format('pb', 'pa')}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
+    near = pairs.join(counts("a"), "a").join(counts("b"), "b").filter(_close(F.col("na"), F.col("nb")) & F.expr(f"7L * {apart} <= na + nb"))
+    pairs = materialize(near.select("a", "b"), "pairs")
     named = F.broadcast if pairs.count() <= BROADCAST else lambda x: x
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(named(pairs), "a")
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(named(pairs.select("b").distinct()), "b", "left_semi")
@@ -153,7 +174,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The distinct representatives of each signature group that has more than one component."""
     known = rows.select("sig", "id", "n", "meta").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_groups = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n_sets")).filter("lo < hi")
+    open_groups = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("least"), F.count("*").alias("n_sets")).filter("lo < hi")
     return known.join(open_groups.drop("lo", "hi"), "sig")
 
 
@@ -161,38 +182,98 @@ def _close(a, b):
     return (a * 4 >= b * 3) & (b * 4 >= a * 3)
 
 
+def _fold(counts: np.ndarray, parts: int) -> np.ndarray:
+    return counts if counts.shape[-1] == parts else counts.reshape(*counts.shape[:-1], parts, -1).sum(-1)
+
+
+def near_in_blocks(ids, components_, sizes, fine: list[np.ndarray], block, first: int, second: int) -> list[tuple[int, int]]:
+    """Pairs (a, b) of different components, one of each block (or both of one), whose sizes and fine counts allow a link."""
+    parts = min(map(len, fine))
+    counts = np.array([_fold(f.astype("i2"), parts) for f in fine], "i2")
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    out = []
+    coarse = _fold(counts, max(8, parts // 8)).astype("i2")  # rules out most pairs at an eighth of the work
+    step = max(1, 2_000_000 // (len(right) * coarse.shape[1]))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        a, b = sizes[rows][:, None], sizes[right][None, :]
+        possible = (components_[rows][:, None] != components_[right][None, :]) & (b * 4 >= a * 3) & (a * 4 >= b * 3)
+        if first == second:
+            possible &= ids[rows][:, None] < ids[right][None, :]
+        if not possible.any():
+            continue
+        i, j = np.nonzero(possible & (np.abs(coarse[rows][:, None, :] - coarse[right][None, :, :]).sum(2, dtype="i4") * 7 <= a + b))
+        if len(i):
+            near = np.concatenate([np.abs(counts[rows[i[k : k + 4096]]] - counts[right[j[k : k + 4096]]]).sum(1, dtype="i4") for k in range(0, len(i), 4096)])
+            near = near * 7 <= sizes[rows[i]] + sizes[right[j]]
+            i, j = i[near], j[near]
+        x, y = ids[rows[i]], ids[right[j]]
+        out += zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist())
+    return out
+
+
+def _near_in_large_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``rows`` (sig, id, component, n) in one group and of different components that may be linked. Members
+    are dealt into blocks by a hash; each pair of blocks is one unit of work, and only near pairs leave it."""
+    n_blocks = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = rows.join(n_blocks, "sig").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")).join(sets.select("id", "fine"), "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    keyed = dealt.select("sig", "id", "component", "n", "fine", "block", other).select(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "sig", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "id", "component", "n", "block", "fine")
+    names = ("sig", "first", "second")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> list[tuple[int, int]]:
+            ids, comps, sizes, blocks = (np.array([r[k] for r in held], "i8") for k in (3, 4, 5, 6))
+            return near_in_blocks(ids, comps, sizes, [np.frombuffer(r[7], "i1") for r in held], blocks, held[0][1], held[0][2])
+
+        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], schema=arrow_schema(PAIRS))
+
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                if held and row[:3] != held[0][:3]:
+                    found.update(out())
+                    held = []
+                held.append(row)
+            yield batch_of(list(found))
+        if held:
+            yield batch_of(out())
+
+    columns = [*names, "id", "component", "n", "block", "fine"]
+    return map_batches(keyed.repartition(*names).sortWithinPartitions(*names).select(columns), run, PAIRS).distinct()
+
+
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row; component_id: the least doc_id that links reach."""
     known = docs.filter("doc_id is not null")
     group = "over (partition by sig, check)"
     found = _signature_rows(known, text).selectExpr("*", f"count(*) {group} as n_group", f"min(id) {group} as hub")
-    grouped = materialize(found.filter("n_group > 1 or check != 0").drop("n_group"), "signatures")
+    grouped = materialize(found.filter("n_group > 1 or check != 0").drop("n_group"), "signatures", free=True)
     members = grouped.filter("check != 0").select("id", F.col("meta").alias("n"), F.when(F.col("meta") > 0, F.col("hub")).otherwise(F.col("id")).alias("rep"))
     copies = members.select("id", "rep", "n").distinct()
     shared = grouped.filter("check = 0").select("id", "sig", "meta")
     # copies that different tasks signed are one representative from here on
     rows = shared.join(copies, "id").select("sig", F.col("rep").alias("id"), "n", "meta").distinct()
     multiple = rows.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    rows = materialize(rows.join(multiple, "sig"), "groups")
+    rows = materialize(rows.join(multiple, "sig"), "groups", free=True)
     wanted = rows.select("id").distinct()
-    sets = materialize(_set_rows(known.select("doc_id", text).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), text), "sets")
-
-    first = rows.filter("id > least").groupBy("id").agg(F.min("least").alias("b")).select(F.col("id").alias("a"), "b")
-    links = materialize(_linked(first, sets), "links")
-    labels = components(links)
-    rest = materialize(_mixed(rows, labels), "mixed")  # a group of one component stays so
-    for hub in ("least", "most"):
-        ends = labels.select(F.col("id").alias(hub), F.col("component").alias("hub_component"))
-        pairs = rest.filter(f"id != {hub}").join(ends, hub, "left").filter(f"component != coalesce(hub_component, {hub})").select(F.greatest("id", hub).alias("a"), F.least("id", hub).alias("b")).distinct()
-        links = materialize(links.unionByName(_linked(pairs, sets)), "links")
-        labels = components(links)
-        rest = materialize(_mixed(rest, labels), "mixed")
+    sets = materialize(_set_rows(known.select("doc_id", text).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), text), "sets", free=True)
+
+    shared = rows.filter("id > least").groupBy("id", "least").agg(F.count("*").alias("k"))
+    hub = shared.groupBy("id").agg(F.max(F.struct("k", -F.col("least"))).alias("hub"))  # the one of most shared signatures
+    first = hub.select(F.col("id").alias("a"), (-F.col("hub.col2")).alias("b"))
+    links = materialize(_linked(first, sets), "links", free=True)
+    rest = materialize(_mixed(rows, components(links)), "mixed", free=True)
     rest = rest.withColumn("family", F.expr("shiftright(meta, 32)"))
     full = rest.filter(F.col("n_sets") > SMALL)
     spare = F.expr("(meta & 4294967295L) - 2147483648L")
     saturated = full.groupBy("id", "family").agg(F.count("*").alias("in_large"), F.min(spare).alias("spare")).filter("in_large > spare").select("id", "family")
-    pairs = _across(rest.filter(F.col("n_sets") <= SMALL)).unionByName(_across(full.join(saturated, ["id", "family"], "left_semi"))).distinct()
-    links = materialize(links.unionByName(_linked(pairs, sets)), "links")
+    crowded = full.join(saturated, ["id", "family"], "left_semi").select("sig", "id", "component", "n")
+    pairs = materialize(_across(rest.filter(F.col("n_sets") <= SMALL)).distinct().unionByName(_near_in_large_groups(crowded, sets)).distinct(), "candidates", free=True)
+    links = materialize(links.unionByName(_linked(pairs, sets)), "links", free=True)
     labels = components(links).select(F.col("id").alias("rep"), "component")
     out = members.join(labels, "rep", "left").groupBy("id", "n", "rep").agg(F.count("*").alias("k"), F.min("component").alias("component"))
     # rows that repeat an id share the least component of their texts

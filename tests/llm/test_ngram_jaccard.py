@@ -58,7 +58,7 @@ def corpus(seed):
     return [(int(k) * 3, " ".join(texts[i])) for k, i in enumerate(order)]
 
 
-@pytest.mark.parametrize("small", [2, 32])
+@pytest.mark.parametrize("small", [1, 6])
 def test_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(nj, "SMALL", small)
     rows = corpus(small)
@@ -84,3 +84,31 @@ def test_odd_rows(spark, odd):
     assert [by_id[i].n_shingles for i in (1, 2, 3, 4, 5, 8)] == [0, 0, 0, 1, 1, 1] and by_id[None].component_id is None
     assert all(by_id[i].component_id == i for i in (1, 2, 3, 4, 5))
     assert nj.jaccard_components(odd.limit(0)).count() == 0
+
+
+def test_part_counts_bound_the_differences():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = int(rng.integers(1, 900)), int(rng.integers(0, 300))
+        x = np.unique(rng.integers(0, 1 << 63, a).astype("u8") * np.uint64(2))
+        y = np.unique(np.r_[x[: len(x) - min(len(x) - 1, b // 3)], rng.integers(0, 1 << 63, b // 3 + 1).astype("u8")])
+        p, q = nj.part_counts(x).astype(int), nj.part_counts(y).astype(int)
+        while len(p) != len(q):
+            p, q = (p.reshape(-1, 2).sum(1), q) if len(p) > len(q) else (p, q.reshape(-1, 2).sum(1))
+        assert np.abs(p - q).sum() <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Near copies of one text around the threshold, with blocks and small groups of a few members."""
+    monkeypatch.setattr(nj, "SMALL", 2)
+    monkeypatch.setattr(nj, "BLOCK", 7)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(1, 12))):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((k, " ".join(words)))
+    got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
