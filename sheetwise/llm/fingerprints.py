@@ -101,7 +101,8 @@ def _groups(marked: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = marked.filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = materialize(marked.join(buckets, "fingerprint").select("doc_id", "rep").distinct(), "buckets")
     named = F.broadcast(members) if members.count() <= BROADCAST else members
-    texts = docs.join(named, "doc_id").select("doc_id", "rep", canonical(F.col("t")).alias("c"))
+    # written once: joins on the canonical text would have Spark infer filters on it, and so compute it for every document
+    texts = materialize(docs.join(named, "doc_id").select("doc_id", "rep", canonical(F.col("t")).alias("c")), "bucket-texts", free=True)
     reps = texts.filter("doc_id = rep").select("rep", F.col("c").alias("rep_c"))
     compared = texts.join(reps, "rep", "left").withColumn("same", F.col("c") == F.col("rep_c"))
     equal = compared.filter("same").select("doc_id", F.col("rep").alias("group_id"))
