@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise.llm.batches import arrow_schema, map_batches
-from sheetwise.llm.components import components
+from sheetwise.operators.graph import components
 from sheetwise.runtime import materialize
 
 SHINGLE = 5
@@ -95,7 +95,7 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            found = np.add.reduceat(_mix(shingles[order] + _ODD[0]), first) ^ (part[first] * _ODD[1])
+            found = np.add.reduceat(shingles[order], first) ^ (part[first] * _ODD[1])
         need = most + 1
         taken = found[: need + max(2, need * 3 // 20)]
         families = [(j, taken, len(taken) - need)] + ([(64 + j, shingles, size - need)] if len(taken) < need else [])
@@ -114,7 +114,7 @@ def _signature_rows(docs: DataFrame, text: str) -> DataFrame:
             ids, sigs, checks, metas = [], [], [], []
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shingles = shingle_set(t)
-                digest = (int(np.bitwise_xor.reduce(_mix(shingles + _ODD[3])) + np.uint64(len(shingles))), int(np.add.reduce(_mix(shingles + _ODD[4]), dtype="u8")) | 1) if len(shingles) else (0, 1)
+                digest = (int(np.bitwise_xor.reduce(shingles * _ODD[3])), int(np.add.reduce(shingles * _ODD[4], dtype="u8")) | 1) if len(shingles) else (0, 1)
                 s, m = (np.zeros(0, "u8"), np.zeros(0, "i8")) if digest in seen or not len(shingles) else signatures(shingles)
                 if len(seen) < COPIES:
                     seen.add(digest)
@@ -186,13 +186,17 @@ def _fold(counts: np.ndarray, parts: int) -> np.ndarray:
     return counts if counts.shape[-1] == parts else counts.reshape(*counts.shape[:-1], parts, -1).sum(-1)
 
 
-def near_in_blocks(ids, components_, sizes, fine: list[np.ndarray], block, first: int, second: int) -> list[tuple[int, int]]:
+def near_in_blocks(ids, components_, sizes, fine: list[bytes], block, first: int, second: int) -> list[tuple[int, int]]:
     """Pairs (a, b) of different components, one of each block (or both of one), whose sizes and fine counts allow a link."""
     parts = min(map(len, fine))
-    counts = np.array([_fold(f.astype("i2"), parts) for f in fine], "i2")
+    if all(len(f) == parts for f in fine):
+        counts = np.frombuffer(b"".join(fine), "i1").reshape(len(fine), parts).astype("i2")
+    else:
+        counts = np.array([_fold(np.frombuffer(f, "i1").astype("i2"), parts) for f in fine], "i2")
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
     out = []
-    coarse = _fold(counts, max(8, parts // 8)).astype("i2")  # rules out most pairs at an eighth of the work
+    fold = max(1, min(16, parts // 8))
+    coarse = sum(counts[:, k::fold] for k in range(fold))  # rules out most pairs at a fraction of the work
     step = max(1, 2_000_000 // (len(right) * coarse.shape[1]))
     for at in range(0, len(left), step):
         rows = left[at : at + step]
@@ -226,7 +230,7 @@ def _near_in_large_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
         def out() -> list[tuple[int, int]]:
             ids, comps, sizes, blocks = (np.array([r[k] for r in held], "i8") for k in (3, 4, 5, 6))
-            return near_in_blocks(ids, comps, sizes, [np.frombuffer(r[7], "i1") for r in held], blocks, held[0][1], held[0][2])
+            return near_in_blocks(ids, comps, sizes, [r[7] for r in held], blocks, held[0][1], held[0][2])
 
         def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], schema=arrow_schema(PAIRS))
@@ -249,10 +253,11 @@ def _near_in_large_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row; component_id: the least doc_id that links reach."""
     known = docs.filter("doc_id is not null")
-    group = "over (partition by sig, check)"
-    found = _signature_rows(known, text).selectExpr("*", f"count(*) {group} as n_group", f"min(id) {group} as hub")
+    found = _signature_rows(known, text).selectExpr("*", "count(*) over (partition by sig) as n_group")  # one long: sorted by radix
     grouped = materialize(found.filter("n_group > 1 or check != 0").drop("n_group"), "signatures", free=True)
-    members = grouped.filter("check != 0").select("id", F.col("meta").alias("n"), F.when(F.col("meta") > 0, F.col("hub")).otherwise(F.col("id")).alias("rep"))
+    digests = grouped.filter("check != 0")
+    least = digests.groupBy("sig", "check").agg(F.min("id").alias("hub"))
+    members = digests.join(least, ["sig", "check"]).select("id", F.col("meta").alias("n"), F.when(F.col("meta") > 0, F.col("hub")).otherwise(F.col("id")).alias("rep"))
     copies = members.select("id", "rep", "n").distinct()
     shared = grouped.filter("check = 0").select("id", "sig", "meta")
     # copies that different tasks signed are one representative from here on
