@@ -13,8 +13,8 @@ is first verified against the hub with which it shares most signatures (a group'
 becomes one component. Only groups that still hold several components yield further pairs, of different components:
 all, in groups of up to ``SMALL`` sets. Larger groups concern only sets that have more signatures in such groups than
 their spare, since any other set still has D+1 signatures elsewhere and so meets each partner in another group. Those
-are compared in blocks, by counts of their shingles in parts of the hash range, and only pairs leave that these exact
-bounds don't rule out.
+are compared in blocks, by the parts of the hash range that hold a shingle, and only pairs leave that this exact bound
+doesn't rule out.
 
 Cases: documents without words, empty or null, have the set size 0 and are linked with nothing. A row without doc_id
 gets its set size and no component. Rows that repeat a doc_id are one document, each row being returned.
@@ -130,11 +130,10 @@ def _signature_rows(docs: DataFrame, text: str) -> DataFrame:
     return map_batches(docs.select("doc_id", text), run, SIGNATURES)
 
 
-def part_counts(shingles: np.ndarray, fewer: int = 3) -> np.ndarray:
-    """How many shingles each of some size/4 equal parts of the hash range holds, up to 127 (with fewer = 0, each of some
-    2 * size parts); the number of parts is a power of two, so that neighbours can be added to compare sets of different
-    bands."""
-    bits = max(3, len(shingles).bit_length() - fewer)
+def part_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles each of some size/4 equal parts of the hash range holds, up to 127; the number of parts is a
+    power of two, so that neighbours can be added to compare sets of different bands."""
+    bits = max(3, len(shingles).bit_length() - 3)
     return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits), 127).astype("i1")
 
 
@@ -147,7 +146,7 @@ def _set_rows(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([x.view("i8") for x in sets], "i8"), _lists([part_counts(x) for x in sets], "i1"), pa.array([part_counts(x, 0).tobytes() for x in sets])], schema=arrow_schema(SETS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([x.view("i8") for x in sets], "i8"), _lists([part_counts(x) for x in sets], "i1"), pa.array([presence_bits(x).tobytes() for x in sets])], schema=arrow_schema(SETS))
 
     return map_batches(docs.select("doc_id", text), run, SETS)
 
@@ -182,22 +181,29 @@ def _close(a, b):
     return (a * 4 >= b * 3) & (b * 4 >= a * 3)
 
 
-def _fold(counts: np.ndarray, parts: int) -> np.ndarray:
-    return counts if counts.shape[-1] == parts else counts.reshape(*counts.shape[:-1], parts, -1).sum(-1)
+def presence_bits(shingles: np.ndarray) -> np.ndarray:
+    """Which of some 8 to 16 * size equal parts of the hash range hold a shingle, as packed bits; sets that differ in a part
+    differ in a shingle of it, so parts that differ never outnumber shingles that do."""
+    bits = max(6, len(shingles).bit_length() + 3)
+    held = np.zeros(1 << bits, "u1")
+    held[(shingles >> np.uint64(64 - bits)).astype("i8")] = 1
+    return np.packbits(held)
+
+
+def _halved(packed: np.ndarray) -> np.ndarray:
+    return np.packbits(np.unpackbits(packed).reshape(-1, 2).max(1))
 
 
 def near_in_blocks(ids, components_, sizes, fine: list[bytes], block, first: int, second: int) -> list[tuple[int, int]]:
-    """Pairs (a, b) of different components, one of each block (or both of one), whose sizes and fine counts allow a link."""
-    parts = min(map(len, fine))
-    if all(len(f) == parts for f in fine):
-        counts = np.frombuffer(b"".join(fine), "i1").reshape(len(fine), parts).astype("i2")
-    else:
-        counts = np.array([_fold(np.frombuffer(f, "i1").astype("i2"), parts) for f in fine], "i2")
+    """Pairs (a, b) of different components, one of each block (or both of one), whose sizes and presence bits allow a link."""
+    width = min(map(len, fine))
+    rows_of = [np.frombuffer(f, "u1") for f in fine]
+    while max(map(len, rows_of)) > width:
+        rows_of = [_halved(f) if len(f) > width else f for f in rows_of]
+    bits = np.ascontiguousarray(np.array(rows_of)).view("u8")
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
     out = []
-    fold = max(1, min(16, parts // 8))
-    coarse = sum(counts[:, k::fold] for k in range(fold))  # rules out most pairs at a fraction of the work
-    step = max(1, 2_000_000 // (len(right) * coarse.shape[1]))
+    step = max(1, 1_000_000 // (len(right) * bits.shape[1])) if len(right) else 1
     for at in range(0, len(left), step):
         rows = left[at : at + step]
         a, b = sizes[rows][:, None], sizes[right][None, :]
@@ -206,11 +212,8 @@ def near_in_blocks(ids, components_, sizes, fine: list[bytes], block, first: int
             possible &= ids[rows][:, None] < ids[right][None, :]
         if not possible.any():
             continue
-        i, j = np.nonzero(possible & (np.abs(coarse[rows][:, None, :] - coarse[right][None, :, :]).sum(2, dtype="i4") * 7 <= a + b))
-        if len(i):
-            near = np.concatenate([np.abs(counts[rows[i[k : k + 4096]]] - counts[right[j[k : k + 4096]]]).sum(1, dtype="i4") for k in range(0, len(i), 4096)])
-            near = near * 7 <= sizes[rows[i]] + sizes[right[j]]
-            i, j = i[near], j[near]
+        apart = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype="i4")
+        i, j = np.nonzero(possible & (apart * 7 <= a + b))
         x, y = ids[rows[i]], ids[right[j]]
         out += zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist())
     return out
