@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.operators.graph import components
-from sheetwise.runtime import ship_package
+from sheetwise.runtime import materialize, ship_package
 
 
 def families(parts: DataFrame, least: int = 8, named: tuple[str, ...] = ()) -> DataFrame:
@@ -26,25 +28,28 @@ def library_use(templates: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def greedy_disjoint(claims: DataFrame) -> DataFrame:
-    """Elements taken in order of their ids where no id of theirs is taken yet. The order matters only among elements that
-    share ids, so each connected component of claims is one group."""
-    ship_package(claims.sparkSession)
-    first = claims.groupBy("sheet_id", "source_id").agg(F.min("element_id").alias("b"))
-    edges = claims.join(first, ["sheet_id", "source_id"]).filter("element_id > b").select(F.col("element_id").alias("a"), "b").distinct()
-    label = components(edges)
-    each = claims.groupBy("sheet_id", "element_id").agg(F.collect_set("source_id").alias("ids")).join(label.withColumnsRenamed({"id": "element_id", "component": "part"}), "element_id", "left")
-    alone = each.filter("part is null").select("sheet_id", "element_id")
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        kept = []
-        for row in group.sort_values("element_id").itertuples():
-            if used.isdisjoint(row.ids):
-                used.update(row.ids)
-                kept.append((row.sheet_id, row.element_id))
-        return pd.DataFrame(kept, columns=["sheet_id", "element_id"])
-
-    return alone.unionByName(each.filter("part is not null").groupBy("sheet_id", "part").applyInPandas(take, "sheet_id long, element_id long"))
+    """Elements of (sheet_id, element_id, source_id) taken in order of their ids where no id of theirs is taken yet.
+
+    In each round an element is taken if it is the least undecided claimant of all its ids, and those that share an id with
+    it are dropped; this is what the order gives. Rounds are written to the shared folder, and no task sees more than one
+    id's or one element's sums. The number of rounds is that of the longest chain of ever larger ids that wait for each
+    other: few where ids are not in the order of such chains, half a chain's length at worst.
+    """
+    keys = ["sheet_id", "element_id"]
+    whole = F.col("sheet_id").isNotNull() & F.col("element_id").isNotNull() & F.col("source_id").isNotNull()
+    # without an id nothing can be shared
+    kept = [claims.groupBy(*keys).agg(F.max(whole).alias("any")).filter("not any").select(*keys)]
+    left = materialize(claims.filter(whole).select(*keys, "source_id").distinct(), "undecided")
+    while left.limit(1).count():
+        least = left.groupBy("sheet_id", "source_id").agg(F.min("element_id").alias("first"))
+        taken = left.join(least, ["sheet_id", "source_id"]).groupBy(*keys).agg(F.min("first").alias("first")).filter("first = element_id").select(*keys)
+        kept.append(materialize(taken, "taken"))
+        used = left.join(kept[-1], keys, "left_semi").select("sheet_id", "source_id")
+        settled = left.join(used.distinct(), ["sheet_id", "source_id"], "left_semi").select(*keys).distinct()
+        left = materialize(left.join(settled, keys, "left_anti"), "undecided")
+        if len(kept) > 20:  # keeps the plan short
+            kept = [materialize(reduce(DataFrame.unionByName, kept), "taken")]
+    return reduce(DataFrame.unionByName, kept)
 
 
 def match(pairs: DataFrame) -> DataFrame:

@@ -143,12 +143,9 @@ def feedback_template(spark, sf):
     return harvest.number_by_kind(elements, {"wall": "W", "door": "D", "window": "N"}, ["element_id"]).drop("verdict")
 
 
-_SPARSE_CLAIMS = f"SELECT sheet_id, element_id, source_id FROM ({t.CLAIMS}) WHERE element_id % 11 = 0"
-
-
 @query()
 def greedy_claims(spark, sf):
-    return harvest.greedy_disjoint(drawing(spark, sf, _SPARSE_CLAIMS))
+    return harvest.greedy_disjoint(drawing(spark, sf, t.CLAIMS))
 
 
 @query()

@@ -38,6 +38,28 @@ def test_greedy_claims(spark):
     assert {r.element_id for r in got} == kept
 
 
+def test_greedy_claims_judges_every_element(spark, small):
+    from sheetwise.plans import catalog, catalog_geometry  # noqa: F401
+    from sheetwise.sources import driver_tables as t
+
+    of: dict = {}
+    for r in t.drawing(spark, small, t.CLAIMS).collect():
+        of.setdefault((r.sheet_id, r.element_id), set()).add((r.sheet_id, r.source_id))
+    used, kept = set(), set()
+    for k in sorted(of, key=lambda k: k[1]):
+        if not of[k] & used:
+            used |= of[k]
+            kept.add(k)
+    got = [tuple(r) for r in catalog.QUERIES["greedy_claims"](spark, small).select("sheet_id", "element_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == kept
+
+
+def test_greedy_claims_in_chains(spark):
+    rows = [(1, e, i) for e in range(50) for i in (e, e + 1)] + [(1, 99, None), (2, 7, 3)]
+    got = harvest.greedy_disjoint(spark.createDataFrame(rows, "sheet_id long, element_id long, source_id long")).collect()
+    assert sorted(map(tuple, got)) == [(1, e) for e in range(0, 50, 2)] + [(1, 99), (2, 7)]
+
+
 def test_freeze_and_replay(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", None), (2, None, 1.5)], "k long, name string, x double")
     snapshots.freeze({"walls": d, "none": d.limit(0)}, f"{tmp_path}/s")
