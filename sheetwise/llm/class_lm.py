@@ -3,13 +3,19 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, and each text closes with an end token. The model
 is p(word | previous) = p(class | class of previous) * p(word | class).
 
-Training runs over every training document. Word counts are summed by Spark. The ``UNITS`` most frequent words are
-clustered each by itself; every other word by its ending (the ``ENDINGS`` most frequent last three characters, or one
+Training runs over every training document. Word counts are summed by Spark. First the ``UNITS`` most frequent words are
+clustered each by itself and every other word by its ending (the ``ENDINGS`` most frequent last three characters, or one
 unit for the rest), so that any word, seen or not, has a class without a lookup. Spark sums the bigram counts of units
 over the whole corpus; exchange clustering then moves one unit at a time to the class that gives the bigram classes
-the highest likelihood, until a sweep moves none. What reaches the driver and every task is bounded by these
-parameters: the unit bigram matrix and the ``KNOWN`` most frequent words with their counts. The counts of all other
-words stay a table, with which the rare words of a text are joined.
+the highest likelihood, until a sweep moves none. Then all other words that occur ``LEAST`` times or more leave their
+ending's class: in each sweep Spark sums how often each class stands before and behind a word, tasks find the class
+that gives each word the highest likelihood, and all move at once; the corpus is counted again with the new classes,
+and the best of these labellings stays. Only rarer and unseen words keep the class of their ending. The number of
+classes grows with the root of the number of words so moved.
+
+What reaches the driver and every task: the unit bigram matrix, the ``KNOWN`` most frequent words with their counts, and
+the words that occur ``LEAST`` times or more with their classes. The counts of all other words stay a table, with which
+the rare words of a text are joined.
 
 p(class | previous class) is interpolated with the class unigram; p(word | class) = (c + 1) / (N + V + 1) with the count
 of the word, and the tokens and distinct words of its class in training. A null or empty text is its end token alone.
@@ -33,8 +39,16 @@ from sheetwise.runtime import materialize
 
 UNITS = 1000
 ENDINGS = 500
+#: Words that occur so often have a class of their own choice.
+LEAST = 20
+#: Classes, or ``CLASSES_BY_ROOT`` times the root of the number of words beyond ``UNITS`` that choose theirs, if more.
 CLASSES = 40
+CLASSES_BY_ROOT = 0.4
 SWEEPS = 12
+#: Sweeps of the words beyond ``UNITS``, each of which reads the corpus.
+WORD_SWEEPS = 2
+#: Neighbours that a task holds before it sums them and hands them on.
+NEIGHBOURS = 2_000_000
 KNOWN = 200_000
 #: Weight of the class unigram against the bigram, in observations of the previous class.
 SMOOTHING = 5.0
@@ -92,13 +106,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Units:
-    """Words to units: 0 is the end, then the frequent words, the frequent endings, and the unit of the rest."""
+    """Words to units: 0 is the end, then the frequent words, the frequent endings, the unit of the rest, and ``more`` words."""
 
-    def __init__(self, words: list[bytes], endings: list[bytes]):
+    def __init__(self, words: list[bytes], endings: list[bytes], more: list[bytes] = ()):
         self.words = {END: 0} | {w: i for i, w in enumerate(words, 1)}
         self.endings = {e: i for i, e in enumerate(endings, 1 + len(words))}
         self.rest = 1 + len(words) + len(endings)
         self.size = self.rest + 1
+        self.words |= {w: i for i, w in enumerate(more, self.size)}
 
     def of(self, word: bytes) -> int:
         found = self.words.get(word)
@@ -190,6 +205,91 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return label
 
 
+def likelihood(transitions: np.ndarray) -> float:
+    """What ``exchange`` makes large, of the class bigrams."""
+    t = transitions.astype("f8")
+    return float(_plogp(t).sum() - _plogp(t.sum(1)).sum() - _plogp(t.sum(0)).sum())
+
+
+def class_bigrams(docs: DataFrame, units: Units, label: np.ndarray, classes: int, neighbours: bool, text: str = "text") -> DataFrame:
+    """(i, j, c): the class bigrams, i being -1 - the first class and j the second. With ``neighbours`` also, for the word of
+    unit ``units.size`` + i, how often class j follows it, class j - ``classes`` precedes it, and it follows itself
+    (j = 2 * ``classes``; these are in no other row)."""
+    width = 2 * classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(units.of)
+        table = np.zeros(classes * classes, "i8")
+        held: list[np.ndarray] = []
+
+        def rows(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(i), 100_000):
+                x = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(i[x].astype("i4")), pa.array(j[x].astype("i4")), pa.array(c[x].astype("i8"))], schema=arrow_schema(BIGRAMS))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            yield from rows(keys // width, keys % width, counts)
+
+        for batch in batches:
+            codes: list[int] = [0]
+            for t in batch.column(0).to_pylist():
+                codes += map(memo.__getitem__, words_of(t))
+                codes.append(0)
+            line = np.array(codes, "i8")
+            first, second, of = line[:-1], line[1:], label[line]
+            table += np.bincount(of[:-1] * classes + of[1:], minlength=classes * classes)
+            if neighbours:
+                same = first == second
+                before, behind = first >= units.size, (second >= units.size) & ~same
+                held.append((first[before] - units.size) * width + np.where(same, 2 * classes, of[1:])[before])
+                held.append((second[behind] - units.size) * width + classes + of[:-1][behind])
+                if sum(map(len, held)) > NEIGHBOURS:
+                    yield from out()
+        if held:
+            yield from out()
+        found = np.flatnonzero(table)
+        yield from rows(-1 - found // classes, found % classes, table[found])
+
+    return map_batches(docs.select(text), run, BIGRAMS).groupBy("i", "j").agg(F.sum("c").alias("c"))
+
+
+def best_classes(sums: DataFrame, table: np.ndarray, label: np.ndarray) -> DataFrame:
+    """(i, j): the class j that gives word i of ``class_bigrams`` the highest likelihood, all others staying. ``table`` has
+    the class bigrams and ``label`` the words' classes."""
+    n = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = table.astype("f8")
+        for batch in batches:
+            chosen = []
+            for word, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.zeros(2 * n + 1)
+                for x in cells:
+                    counts[x["j"]] = x["c"]
+                out, into, own, old = counts[:n], counts[n:-1], counts[-1], label[word]
+                now[old] -= out
+                now[:, old] -= into
+                now[old, old] -= own
+                follow, precede = np.flatnonzero(out), np.flatnonzero(into)
+                right, left, corner = now[:, follow], now[precede], np.diag(now).copy()
+                rows, columns = now.sum(1), now.sum(0)
+                gain = (_plogp(right + out[follow]) - _plogp(right)).sum(1) + (_plogp(left + into[precede, None]) - _plogp(left)).sum(0)
+                gain += _plogp(corner + out + into + own) - _plogp(corner + out) - _plogp(corner + into) + _plogp(corner)
+                gain -= _plogp(rows + out.sum() + own) - _plogp(rows) + _plogp(columns + into.sum() + own) - _plogp(columns)
+                gain[0] = -np.inf
+                new = int(np.argmax(gain))
+                chosen.append(new if gain[new] > gain[old] + 1e-9 else int(old))
+                now[old] += out
+                now[:, old] += into
+                now[old, old] += own
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.int32())], names=["i", "j"])
+
+    each = sums.filter("i >= 0").groupBy("i").agg(F.collect_list(F.struct("j", "c")).alias("cells"))  # at most 2 * classes + 1
+    return map_batches(each, run, T.StructType(BIGRAMS.fields[:2]))
+
+
 class Model:
     """Classes with log10 transitions and, for each class, its log10 emission total."""
 
@@ -201,28 +301,62 @@ class Model:
         self.log_total = np.log10(tokens + types + 1.0)
 
 
+def exchange_words(docs: DataFrame, units: Units, label: np.ndarray, transitions: np.ndarray, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The best labels of ``units`` and their class bigrams after sweeps that move the words behind ``units.size``."""
+    classes = len(transitions)
+    best = label, transitions
+    for sweep in range(WORD_SWEEPS + 1):
+        last = sweep == WORD_SWEEPS
+        sums = class_bigrams(docs, units, label, classes, not last, text)
+        if not last:
+            sums = materialize(sums, "class-neighbours", free=True)
+        now = np.zeros((classes, classes))
+        for part in sums.filter("i < 0").toArrow().to_batches():  # at most classes squared cells
+            now[-1 - part.column(0).to_numpy(), part.column(1).to_numpy()] = part.column(2).to_numpy()
+        if sweep and likelihood(now) <= likelihood(best[1]):
+            break
+        best = label, now
+        if last:
+            break
+        moves = best_classes(sums, now, label[units.size :]).toArrow()
+        label = label.copy()
+        label[units.size + moves.column(0).to_numpy()] = moves.column(1).to_numpy()
+        if (label == best[0]).all():
+            break
+    return best
+
+
 def train(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     """The model of the training ``docs`` with their word counts."""
     first = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(UNITS)
     frequent = [bytes(r.word) for r in first.collect()]
     tail = F.substring(F.col("word").cast("string"), -3, 3)
     last = counts.filter(F.col("word") != END).groupBy(tail.alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ENDINGS)
-    units = Units(frequent, [r.e.encode() for r in last.collect()])
+    endings = [r.e.encode() for r in last.collect()]
+    units = Units(frequent, endings)
+    often = counts.filter((F.col("word") != END) & (F.col("c") >= LEAST)).select("word").toArrow().column(0).to_pylist()
+    more = sorted(set(often) - units.words.keys())
     table = unit_bigrams(docs, units, text)
     matrix = np.zeros((units.size, units.size), "i8")
     for part in table.toArrow().to_batches():  # at most units.size squared cells
         matrix[part.column(0).to_numpy(), part.column(1).to_numpy()] = part.column(2).to_numpy()
-    label = exchange(matrix, CLASSES)
-    member = np.eye(label.max() + 1)[label]
+    label = exchange(matrix, max(CLASSES, round(CLASSES_BY_ROOT * math.sqrt(len(more)))))
+    classes = int(label.max()) + 1
+    member = np.eye(classes)[label]
     transitions = member.T @ matrix @ member
+    if more:
+        label = np.concatenate([label, label[[units.of(w) for w in more]]])
+        units = Units(frequent, endings, more)
+        label, transitions = exchange_words(docs, units, label, transitions, text)
+        member = np.eye(classes)[label]
     # distinct words by ending; endings beyond the units' are one row
     kept = {e: k for e, k in units.endings.items()}
-    types = np.zeros(units.size)
+    types = np.zeros(len(label))
     types[list(units.words.values())] = 1
     rare = counts.filter(F.col("word") != END).groupBy(F.when(tail.isin([e.decode() for e in kept]), tail).alias("e")).agg(F.count("*").alias("v"))
     for r in rare.collect():
         types[kept[r.e.encode()] if r.e is not None else units.rest] += r.v
-    for w in frequent:
+    for w in (*frequent, *more):
         types[units.endings.get(ending(w), units.rest)] -= 1
     return Model(units, label, transitions, transitions.sum(0), member.T @ types)
 
@@ -247,7 +381,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, text: str = "text")
     tokens, types = whole.n or 0, whole.v
     head = {r["word"]: r["c"] for r in frequent_words(counts, KNOWN).toArrow().to_pylist()}
     head.setdefault(END, 0)
-    shared = spark.sparkContext.broadcast((head, model))  # bounded by KNOWN, UNITS, ENDINGS and CLASSES
+    shared = spark.sparkContext.broadcast((head, model))  # the KNOWN words, and those that occur LEAST times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, model = shared.value

@@ -52,6 +52,24 @@ def test_exchange_finds_planted_classes():
     assert all(len(set(label[kind == k])) == 1 for k in range(4)) and len(set(label)) == 4
 
 
+def test_words_beyond_the_head_choose_their_classes(spark, monkeypatch):
+    for k, v in {"UNITS": 20, "CLASSES": 4, "LEAST": 3}.items():
+        monkeypatch.setattr(lm, k, v)
+    rng = np.random.default_rng(5)  # p and q words take turns and have one ending
+    lines = [" ".join(f"{'pq'[i % 2]}{rng.integers(10) if rng.random() < 0.7 else rng.integers(60)}zzz" for i in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in lines], "text string")
+    counts = lm.word_counts(docs).cache()
+    model = lm.train(docs, counts)
+    words = [bytes(r.word) for r in counts.filter(f"c >= {lm.LEAST}").collect() if bytes(r.word) != lm.END]
+    of = {k: {int(model.label[model.units.of(w)]) for w in words if w.startswith(k)} for k in (b"p", b"q")}
+    assert len(words) > 60 and len({model.units.of(w) for w in words}) == len(words)
+    assert of[b"p"] and of[b"q"] and not of[b"p"] & of[b"q"]
+    mass = np.ones(len(model.log_total))
+    for r in counts.collect():
+        mass[model.label[model.units.of(bytes(r.word))]] += r.c + 1
+    assert np.allclose(np.log10(mass), model.log_total)
+
+
 def test_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     got = lm.op3_class_lm(spark, str(tmp_path)).collect()
