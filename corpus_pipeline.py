@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.llm import ngram_jaccard, packing, pii, quality_rules, toxicity
-from sheetwise.runtime import materialize
+from sheetwise.runtime import discard, materialize
 
 #: Ids of dropped documents, 8 bytes each, that may be broadcast.
 BROADCAST = 1_000_000
@@ -40,7 +40,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, columns = _shielded(docs)
-    found = materialize(ngram_jaccard.jaccard_components(own).filter("doc_id is not null"), "components", free=True)
+    found = materialize(ngram_jaccard.jaccard_components(own).filter("doc_id is not null"), "components")
     dropped = found.filter("doc_id != component_id").select("doc_id").distinct()
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     once = own.join(_small(dropped.unionByName(repeated)), "doc_id", "left_anti")
@@ -72,5 +72,7 @@ def run(spark, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", free=True)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.runtime import materialize
+from sheetwise.runtime import discard, materialize
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        mark, before = seen, now
         now = materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -56,10 +57,11 @@ def closure(edges: DataFrame) -> DataFrame:
             raise ValueError("the hierarchy has a cycle")
         upper = paths.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
         longer = paths.filter(F.col("depth") == reach).join(upper, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        grown = materialize(paths.unionByName(longer).distinct(), "paths")
+        longer = materialize(longer, "longer")
         if not longer.limit(1).count() or reach > total:
             break
-        paths, reach = grown, reach * 2
+        before, paths, reach = paths, materialize(paths.unionByName(longer).distinct(), "paths"), reach * 2
+        discard(before, longer)
     return nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionByName(paths)
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting that lets a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -32,33 +32,39 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets
+    a folder of its own, and one on a cluster an error, since its executors couldn't see that folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "sheetwise-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sheetwise-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    free: let Spark drop the shuffle files of finished jobs now.
+    The shuffle files of the write go with it. The written files stay until ``discard``.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Spark drops a job's shuffle files once its plan is collected as garbage; the first pass frees what still refers to
-    the last job."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-    spark.sparkContext._jvm.System.gc()
+def discard(*steps: DataFrame) -> None:
+    """Empty the files of materialized ``steps`` that nothing reads any more."""
+    for step in steps:
+        step.sparkSession.range(0).write.mode("overwrite").parquet(step.written_to)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
