@@ -5,14 +5,18 @@ lengths of the parts between matches, so they are characters (code points) and n
 separators inside runs are first replaced, one character for one, so that each pattern is a run of one character class:
 no pattern nests loops, and long runs cost neither stack nor quadratic time.
 
-Bootstrapping: the base matches are the seed instances. Every instance, seed or candidate (a run of at least
-``SHORTEST`` letters and digits, with a digit, outside the base spans), has lexical patterns: what stands to its left,
-with the kind of character to its right. On the bipartite graph of patterns and instances Spark alternates two steps
-``ROUNDS`` times: a pattern's confidence is the mean score of its instances (with ``PRIOR`` unscored instances added), and
-a candidate's score is the chance that not all its patterns err. Patterns with ``SUPPORT`` seeds of confidence
-``CONFIDENCE`` are kept; candidates they hold become spans of the kind id. Base spans always stay.
-
-Null text is empty. Repeated rows are read one by one. An empty table gives no rows.
+Bootstrapping: the base matches are the seed instances, of score 1. Every instance, seed or candidate (a run of
+``SHORTEST`` or more letters and digits, with a digit, outside the base spans), has lexical patterns: the word to its left
+(at most its last ``CONTEXT`` characters, digits as 9), with the kind of character to its right. On the bipartite graph of
+patterns and instances Spark alternates two steps. A pattern's confidence is the mean score of its instances (with
+``PRIOR`` instances of score 0 added); with ``SUPPORT`` known instances and a confidence of ``CONFIDENCE`` it is trusted.
+A candidate's score is the chance that not all its trusted patterns err, and never falls; from ``CONFIDENCE`` on the
+candidate is known, and supports further patterns with its score. Rounds end when one makes no further candidate known
+and raises no score by more than ``RISE``, so chains of discoveries are followed to their end.
+Known candidates that stand in a trusted pattern become spans of the kind id. Base spans always stay.
+
+Null text is empty. Repeated rows are read one by one. An empty table gives no rows. Columns of the caller named email,
+ip, card, phone or id give way to the result's; those of any other name stay (names that begin with _pii_ are ours).
 """
 
 from __future__ import annotations
@@ -20,15 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.runtime import materialize
+from sheetwise.runtime import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-SHORTEST, LONGEST = 8, 64
-ROUNDS = 2
+SHORTEST = 5
 PRIOR = 1.0
 SUPPORT = 3
 CONFIDENCE = 0.7
-#: Characters left of an instance that a pattern may hold.
+RISE = 0.001
+#: Characters of the word to the left that make a pattern.
 CONTEXT = 24
 #: Accepted patterns (some 30 bytes each) that may be broadcast.
 BROADCAST = 500_000
@@ -80,25 +84,26 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     dotted = F.regexp_replace(clean, "(?<=[A-Za-z0-9-])\\.(?=[A-Za-z0-9-])", _MARK)
     grouped = F.regexp_replace(clean, "(?<=[0-9])[\\x20-](?=[0-9])", _MARK)
     part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-    d = docs.withColumns({"_has_at": F.instr(t, "@") > 0, "_has_plus": F.instr(t, "+") > 0, "_has_digit": t.rlike("[0-9][0-9.\\x20-]")})
+    d = docs.withColumns({"_pii_at": F.instr(t, "@") > 0, "_pii_plus": F.instr(t, "+") > 0, "_pii_digit": t.rlike("[0-9][0-9.\\x20-]")})
     return d.withColumns(
         {
-            "email": _matches(t, dotted, f"(?:\\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++{_MARK}[A-Za-z0-9{_MARK}-]++", F.col("_has_at")),
-            "ip": F.filter(_matches(t, clean, "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", F.col("_has_digit")), lambda s: s["value"].rlike(f"^{part}\\.{part}\\.{part}\\.{part}$")),
+            "email": _matches(t, dotted, f"(?:\\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++{_MARK}[A-Za-z0-9{_MARK}-]++", F.col("_pii_at")),
+            "ip": F.filter(_matches(t, clean, "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", F.col("_pii_digit")), lambda s: s["value"].rlike(f"^{part}\\.{part}\\.{part}\\.{part}$")),
             "card": F.filter(
-                _matches(t, grouped, f"(?<![0-9{_MARK}])[0-9](?:{_MARK}?[0-9]){{12,18}}(?![0-9{_MARK}])", F.col("_has_digit")), lambda s: _luhn(s["value"])
+                _matches(t, grouped, f"(?<![0-9{_MARK}])[0-9](?:{_MARK}?[0-9]){{12,18}}(?![0-9{_MARK}])", F.col("_pii_digit")), lambda s: _luhn(s["value"])
             ),
-            "phone": F.filter(_matches(t, clean, "\\+[0-9][\\x20().0-9-]+[0-9]", F.col("_has_plus")), lambda s: _n_digits(s["value"]).between(9, 15)),
+            "phone": F.filter(_matches(t, clean, "\\+[0-9][\\x20().0-9-]+[0-9]", F.col("_pii_plus")), lambda s: _n_digits(s["value"]).between(9, 15)),
         }
-    ).drop("_has_at", "_has_plus", "_has_digit")
+    ).drop("_pii_at", "_pii_plus", "_pii_digit")
 
 
 def with_candidates(based: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the array candidates of (start, end, value): identifier-like runs outside the base spans."""
+    """Adds the array _pii_candidates of (start, end, value): identifier-like runs outside the base spans."""
     t = F.coalesce(F.col(text), F.lit(""))
     taken = F.concat(*[F.col(k) for k in KINDS])
-    runs = _matches(t, t, f"(?<![A-Za-z0-9])(?=[A-Za-z]{{0,{LONGEST}}}[0-9])[A-Za-z0-9]{{{SHORTEST},{LONGEST}}}+(?![A-Za-z0-9])", t.rlike("[0-9]"))
-    return based.withColumn("candidates", F.filter(runs, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    runs = _matches(t, t, f"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{SHORTEST},}}+", t.rlike("[0-9]"))
+    free = F.filter(runs, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return based.withColumn("_pii_candidates", free)
 
 
 def _pattern(t: Column, span: Column) -> Column:
@@ -110,39 +115,61 @@ def _pattern(t: Column, span: Column) -> Column:
     return F.concat(F.regexp_replace(left, "[0-9]+", "9"), F.lit("\t"), kind)
 
 
+def _value(span: Column) -> Column:
+    return F.xxhash64(F.lower(span["value"]))
+
+
 def _instances(found: DataFrame, text: str) -> DataFrame:
     """(pattern, value, seed) of every span, distinct."""
     t = F.coalesce(F.col(text), F.lit(""))
-    of = lambda c, seed: F.transform(c, lambda s: F.struct(_pattern(t, s).alias("pattern"), F.xxhash64(F.lower(s["value"])).alias("value"), F.lit(seed).alias("seed")))
-    rows = F.concat(of(F.concat(*[F.col(k) for k in KINDS]), True), of(F.col("candidates"), False))
+    of = lambda c, seed: F.transform(c, lambda s: F.struct(_pattern(t, s).alias("pattern"), _value(s).alias("value"), F.lit(seed).alias("seed")))
+    rows = F.concat(of(F.concat(*[F.col(k) for k in KINDS]), True), of(F.col("_pii_candidates"), False))
     return found.select(F.inline(rows)).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
 
 
-def learn_patterns(found: DataFrame, text: str = "text") -> DataFrame:
-    """The kept patterns: pattern, confidence and n_seeds. Hot patterns are summed before they are shuffled."""
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def learn_patterns(found: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The trusted patterns (pattern, confidence, n_known) and the known candidates (value, score), at the fixpoint.
+
+    Hot patterns are summed before they are shuffled, and only trusted patterns and known candidates meet the edges
+    again: by broadcast where they are few.
+    """
     edges = materialize(_instances(found, text), "pattern-edges")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("n_seeds"))
-        patterns = materialize(patterns, "patterns")
-        trusted = F.when(F.col("n_seeds") >= SUPPORT, F.least("confidence", F.lit(0.999))).otherwise(0.0)
-        joined = edges.join(patterns.select("pattern", trusted.alias("trust")), "pattern")
-        values = joined.groupBy("value").agg(F.max("seed").alias("known"), (1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("found"))
-        scored = edges.join(values, "value").select("pattern", "value", "seed", F.when(F.col("known"), 1.0).otherwise(F.col("found")).alias("score"))
-    return patterns.filter((F.col("n_seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
+    seeds = edges.filter("seed").select("value").distinct()
+    known = None
+    while True:
+        scored = edges.withColumn("score", F.lit(None).cast("double")) if known is None else edges.join(_sized(known.select("value", "score")), "value", "left")
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        summed = scored.groupBy("pattern").agg((F.sum(score) / (F.count("*") + PRIOR)).alias("confidence"), F.sum(F.when(score > 0, 1).otherwise(0)).alias("n_known"))
+        patterns = materialize(summed.filter((F.col("n_known") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)), "patterns")
+        trusted = patterns.select("pattern", F.least("confidence", F.lit(0.999)).alias("trust"))
+        reached = edges.filter("not seed").join(_sized(trusted), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
+        reached = reached.filter(F.col("score") >= CONFIDENCE).join(seeds, "value", "left_anti").withColumn("before", F.lit(0.0))
+        if known is not None:
+            reached = reached.unionByName(known.select("value", "score", F.col("score").alias("before")))
+        last, known = known, materialize(reached.groupBy("value").agg(F.max("score").alias("score"), F.max("before").alias("before")), "known-candidates")
+        if last is not None:
+            discard(last)
+        if not known.filter(F.col("score") > F.col("before") + RISE).limit(1).count():
+            discard(edges)
+            return patterns, known
+        discard(patterns)
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with email, ip, card, phone and id: arrays of (start, end, value), in order of start."""
-    key = "_row"
-    found = materialize(with_candidates(with_base_spans(docs, text), text).withColumn(key, F.monotonically_increasing_id()), "pii", free=True)
-    patterns = materialize(learn_patterns(found, text).select("pattern"), "kept-patterns")
+    key = "_pii_row"
+    found = materialize(with_candidates(with_base_spans(docs, text), text).withColumn(key, F.monotonically_increasing_id()), "pii")
+    patterns, known = learn_patterns(found, text)
     t = F.coalesce(F.col(text), F.lit(""))
-    spans = F.transform("candidates", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(t, s).alias("pattern")))
-    held = found.filter(F.size("candidates") > 0).select(key, F.inline(spans))
-    kept = held.join(F.broadcast(patterns) if patterns.count() <= BROADCAST else patterns, "pattern", "left_semi")
+    spans = F.transform("_pii_candidates", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _pattern(t, s).alias("pattern"), _value(s).alias("hash")))
+    held = found.filter(F.size("_pii_candidates") > 0).select(key, F.inline(spans))
+    kept = held.join(_sized(patterns.select("pattern")), "pattern", "left_semi").join(_sized(known.select(F.col("value").alias("hash"))), "hash", "left_semi")
     ids = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("id"))
-    return found.join(ids, key, "left").withColumn("id", F.coalesce("id", F.array().cast(_SPAN))).drop(key, "candidates")
+    return found.drop("id").join(ids, key, "left").withColumn("id", F.coalesce("id", F.array().cast(_SPAN))).drop(key, "_pii_candidates")
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:
@@ -162,14 +189,14 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
     def named(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{kind.upper()}]").alias("name")))
 
-    d = found.withColumn("_spans", F.array_sort(F.concat(*map(named, (*KINDS, "id")))))
-    d = d.withColumn("_ends", _scan(F.transform("_spans", lambda x: -x["back"]), F.lit(0), lambda a, b: F.greatest(a, b)))
+    d = found.withColumn("_pii_spans", F.array_sort(F.concat(*map(named, (*KINDS, "id")))))
+    d = d.withColumn("_pii_ends", _scan(F.transform("_pii_spans", lambda x: -x["back"]), F.lit(0), lambda a, b: F.greatest(a, b)))
     pieces = F.transform(
-        F.arrays_zip(F.col("_spans").alias("s"), F.concat(F.array(F.lit(0)), F.slice("_ends", 1, F.size("_ends") - 1)).alias("e")),
+        F.arrays_zip(F.col("_pii_spans").alias("s"), F.concat(F.array(F.lit(0)), F.slice("_pii_ends", 1, F.size("_pii_ends") - 1)).alias("e")),
         lambda x: F.when(x["s"]["start"] >= x["e"], F.concat(F.substr(t, x["e"] + 1, x["s"]["start"] - x["e"]), x["s"]["name"])).otherwise(""),
     )
-    done = F.concat(F.array_join(pieces, ""), F.substr(t, F.element_at("_ends", -1) + 1))
-    return d.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(F.col(text))).drop("_spans", "_ends")
+    done = F.concat(F.array_join(pieces, ""), F.substr(t, F.element_at("_pii_ends", -1) + 1))
+    return d.withColumn(text, F.when(F.size("_pii_spans") > 0, done).otherwise(F.col(text))).drop("_pii_spans", "_pii_ends")
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
