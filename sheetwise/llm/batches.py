@@ -11,16 +11,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sheetwise.runtime import ship_package
 
-#: Rows of one Arrow batch. Texts may be long, and a batch is held whole in an executor's memory.
+#: Rows that a function sees at once. Texts may be long; Spark itself bounds the bytes of a batch.
 ROWS = 512
-SIZE_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow with small batches, the package being sent to the executors first."""
     ship_package(df.sparkSession)
-    df.sparkSession.conf.set(SIZE_CONF, str(ROWS))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def extended(df: DataFrame, *fields: T.StructField) -> T.StructType:

@@ -5,7 +5,8 @@ searched, its boundary deleted, and the two neighbouring ranks refreshed, until
 ``LONG_WORD`` bytes go through a heap with the same choice of pairs, so that time does not grow with their square.
 
 Ids equal those of the `tokenizers` library for a byte-level BPE file without added special tokens: text that spells a
-special token becomes that token. Null text counts as empty and gives no ids; repeated rows are encoded one by one.
+special token becomes that token. Null text counts as empty and gives no ids; repeated rows are encoded one by one; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,11 +1,12 @@
 """Packing into windows by Karmarkar-Karp multiway differencing.
 
-Each document's ids, closed by id 0, are cut into full windows and a rest; rests are cut into pieces of at most
-``PIECE`` ids, and of ``GRAIN`` ids at the end of a group. A group of rests that fills about ``WAYS`` windows becomes one multiway problem: every piece starts as a
+Each document's ids, closed by id 0, are cut into full windows, which have no room for more, and a rest; a rest over
+``PIECE`` is cut into as few nearly equal pieces as that allows. The rests of ``GROUP`` documents become one multiway problem: every piece starts as a
 partial partition with itself in one window and nothing in the others, and the two partial partitions of the largest
-imbalance are merged with opposing order until one is left, whose windows are nearly equal. Where one exceeds the
-capacity, the group is solved again with one window more. Groups form within a task in the order of its rows, so no
-task holds more than one group, nothing is shuffled, and a rerun gives the same windows.
+imbalance are merged with opposing order until one is left, whose windows are nearly equal. The first try has the fewest
+windows that could hold the group; while a window exceeds the capacity, the group is solved again with one window more.
+Groups form within a task in the order of its rows, so no task holds more than one group, nothing is shuffled, and a
+rerun gives the same windows.
 
 Null text is an empty document: it has the one id 0. Repeated rows are packed one by one. An empty table packs to
 nothing. Sequence ids carry the task's partition in their upper bits and are unique in one result.
@@ -28,13 +29,10 @@ from sheetwise.llm.batches import arrow_schema, map_batches, texts
 from sheetwise.llm.bpe import PATTERN, REMEMBERED, Vocabulary, default_path
 
 CAPACITY = 1024
-PIECE = 256
-WAYS = 32
-#: Ids of a group for each window: a little under the capacity, so that nearly equal windows fit.
-TARGET = CAPACITY - 5
-#: The last ids of a group are cut into grains, which even out what the larger pieces leave.
-SAND = 1024
-GRAIN = 8
+#: The most ids of a piece: windows of several pieces can be evened out, those of one or two can't.
+PIECE = CAPACITY // 4
+#: Documents whose rests are packed together.
+GROUP = 256
 END_ID = 0
 NAMES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in NAMES]])
@@ -46,20 +44,28 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
     for i, size in enumerate(sizes):
         sums = np.zeros(ways, "int64")
         sums[0] = size
-        queue.append((-size, i, sums, [[i]] + [[] for _ in range(ways - 1)]))
+        queue.append((-size, i, sums))
     heapq.heapify(queue)
-    serial = len(sizes)
+    merges = []  # (one, other, order): node len(sizes) + k joins one's window order[j] and, from its end, the other's
     while len(queue) > 1:
-        _, _, a, in_a = heapq.heappop(queue)  # both have their largest window first
-        _, _, b, in_b = heapq.heappop(queue)
+        _, one, a = heapq.heappop(queue)  # both have their largest window first
+        _, other, b = heapq.heappop(queue)
         sums = a + b[::-1]
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
         sums -= sums[-1]
-        inside = [in_a[k] + in_b[ways - 1 - k] for k in order.tolist()]
-        heapq.heappush(queue, (-int(sums[0]), serial, sums, inside))
-        serial += 1
-    return queue[0][3] if queue else [[] for _ in range(ways)]
+        heapq.heappush(queue, (-int(sums[0]), len(sizes) + len(merges), sums))
+        merges.append((one, other, order))
+    windows: list[list[int]] = [[] for _ in range(ways)]
+    place = {len(sizes) + len(merges) - 1: np.arange(ways)}  # of each node's windows in the result
+    for k in range(len(merges) - 1, -1, -1):
+        one, other, order = merges[k]
+        mine, left = place.pop(len(sizes) + k), np.empty(ways, "int64")
+        left[order] = mine
+        place[one], place[other] = left, left[::-1]
+    for i in range(len(sizes)):
+        windows[place[i][0]].append(i)
+    return windows
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -87,14 +93,17 @@ class _Pieces(dict):
 
 
 class LibraryEncoder:
-    """Ids through tiktoken over the vocabulary of a tokenizers file, which it must have in rank order; pieces between
-    single spaces are remembered."""
+    """Ids through tiktoken over the vocabulary of a tokenizers file; pieces between single spaces are remembered. The
+    library merges by id, so the ids of merged tokens must ascend in the order of the file's merges, which is checked."""
 
     def __init__(self, path: str):
         import tiktoken
 
         vocabulary = Vocabulary(path)
         self.special = vocabulary.special
+        merged = [made for _, made in sorted(vocabulary.merges.values())] if isinstance(vocabulary.merges, dict) else []
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError(f"the ids of {path} are not in the order of its merges")
         ranks = {b: i for i, b in enumerate(vocabulary.token_bytes) if i not in self.special.values()}
         self.library = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.known = _Pieces(lambda t: self.library.encode(t, allowed_special="all"))
@@ -113,27 +122,28 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 class _Packer:
-    """Rows of one task; ``rests`` never holds more than a group and a document's rest."""
+    """Rows of one task; ``rests`` never holds more than a group."""
 
     def __init__(self, partition: int):
         self.sequence = partition << 40
         self.rests: list[tuple] = []
-        self.held = 0
+        self.documents = 0
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: bytes) -> None:
         total = len(ids) // 4
         full = total - total % CAPACITY
+        crc = lambda start, end: zlib.crc32(ids[4 * start : 4 * end])
         for start in range(0, full, CAPACITY):
-            self.rows.append((doc_id, start, CAPACITY, zlib.crc32(ids[4 * start : 4 * (start + CAPACITY)]), total, self._next(), 0))
-        while full < total:
-            room = WAYS * TARGET - self.held
-            length = min(PIECE, total - full, room - SAND) if room > SAND else min(GRAIN, total - full, room)
-            self.rests.append((doc_id, full, length, zlib.crc32(ids[4 * full : 4 * (full + length)]), total))
-            self.held += length
-            full += length
-            if self.held == WAYS * TARGET:
-                self.flush()
+            self.rows.append((doc_id, start, CAPACITY, crc(start, start + CAPACITY), total, self._next(), 0))
+        if full == total:
+            return
+        pieces = -(-(total - full) // PIECE)
+        ends = [full + (total - full) * k // pieces for k in range(pieces + 1)]
+        self.rests += [(doc_id, start, end - start, crc(start, end), total) for start, end in zip(ends, ends[1:])]
+        self.documents += 1
+        if self.documents == GROUP:
+            self.flush()
 
     def flush(self) -> None:
         for window in pack([r[2] for r in self.rests]):
@@ -141,7 +151,7 @@ class _Packer:
             for i in window:
                 self.rows.append((*self.rests[i], sequence, offset))
                 offset += self.rests[i][2]
-        self.rests, self.held = [], 0
+        self.rests, self.documents = [], 0
 
     def _next(self) -> int:
         self.sequence += 1

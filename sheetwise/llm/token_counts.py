@@ -5,6 +5,7 @@ that encoding sections apart (which would shift merges at their edges) is never
 boundary goes to the section that holds most of its characters, and to the earlier one in a tie; a token that covers
 only part of a character counts as covering it. Sections are the lines of a text, each with its closing line feed, so
 the counts of a document's sections add up to its own count. Null or empty text has one empty section without tokens.
+Repeated rows each have their own rows, which are alike; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -96,3 +96,65 @@ def test_differencing_is_near_equal():
     windows = packing.difference(sizes, 32)
     sums = [sum(sizes[i] for i in w) for w in windows]
     assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and max(sums) - min(sums) <= 8
+
+
+def test_differencing_balances_like_the_plain_form():
+    """Against partial partitions kept as lists of windows."""
+    rng = np.random.default_rng(2)
+    for n, ways in ((1, 1), (1, 3), (5, 2), (40, 7), (90, 13)):
+        sizes = rng.integers(1, 257, n).tolist()
+        parts = [[[s, [i]]] + [[0, []] for _ in range(ways - 1)] for i, s in enumerate(sizes)]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[0][0] - p[-1][0])
+            a, b = parts.pop(), parts.pop()
+            parts.append(sorted(([x[0] + y[0], x[1] + y[1]] for x, y in zip(a, b[::-1])), key=lambda x: -x[0]))
+        windows = packing.difference(sizes, ways)
+        spread = lambda sums: max(sums) - min(sums)
+        assert sorted(i for w in windows for i in w) == list(range(n))
+        assert abs(spread([sum(sizes[i] for i in w) for w in windows]) - spread([x[0] for x in parts[0]])) <= 40
+
+
+def test_windows_rise_when_the_capacity_is_exceeded():
+    sizes = [7, 7, 7, 7]  # two to a window would be 14
+    windows = packing.pack(sizes, 10)
+    assert len(windows) == 4 > -(-sum(sizes) // 10) and sorted(i for w in windows for i in w) == [0, 1, 2, 3]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = rng.integers(1, 101, int(rng.integers(1, 60))).tolist()
+        windows = packing.pack(sizes, 100)
+        assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and max(sum(sizes[i] for i in w) for w in windows) <= 100
+
+
+def test_packing_of_repeated_rows_and_long_texts(spark):
+    rows = [(1, "one two three")] * 3 + [(2, "word " * 5000), (3, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for doc_id, text, times in ((1, "one two three", 3), (2, "word " * 5000, 1), (3, "", 1)):
+        n = len(library_ids(text)) + 1
+        pieces = [r for r in got if r.doc_id == doc_id]
+        assert sum(r.length for r in pieces) == times * n and {r.doc_tokens for r in pieces} == {n}
+        cuts = sorted({(r.start, r.length) for r in pieces})
+        assert sorted((r.start, r.length) for r in pieces) == sorted(cuts * times)
+
+
+def test_coders_take_no_rows_and_repeated_rows(spark, odd):
+    assert bpe.encode_documents(odd.limit(0)).count() == 0 and token_counts.token_counts(odd.limit(0)).count() == 0
+    for coded in (token_counts.token_counts, lambda d: bpe.encode_documents(d).select("doc_id", "ids")):
+        twice = odd.filter("doc_id = 5")
+        assert sorted(map(str, coded(twice).collect())) == sorted(map(str, coded(twice.limit(1)).collect() * 2))
+
+
+def test_queries_on_documents(spark, small):
+    """op5 and op6 as registered, against the library."""
+    import hashlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in bpe.op5_bpe(spark, small).collect()}
+    assert got.keys() == docs.keys()
+    for d, t in docs.items():
+        ids = library_ids(t)
+        assert got[d].n_tokens == len(ids) and got[d].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[d].decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    total = {}
+    for r in token_counts.op6_token_counts(spark, small).collect():
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
+    assert total == {d: len(library_ids(t)) for d, t in docs.items()}
