@@ -11,10 +11,13 @@ share a signature are candidates, and candidates are verified on whole sets.
 Groups are never expanded into all pairs. Equal sets meet through a 128-bit digest and are one representative. Each set
 is first verified against the hub with which it shares most signatures (a group's hub is its least id); what is linked
 becomes one component. Only groups that still hold several components yield further pairs, of different components:
-all, in groups of up to ``SMALL`` sets. Larger groups concern only sets that have more signatures in such groups than
-their spare, since any other set still has D+1 signatures elsewhere and so meets each partner in another group. Those
-are compared in blocks, by the parts of the hash range that hold a shingle, and only pairs leave that this exact bound
-doesn't rule out.
+all, in groups of up to ``SMALL`` sets. A linked pair shares one signature more than the lesser of its two spares. So it
+can meet in larger groups alone only if either set has more signatures in such groups than the least spare of any set in
+them; those sets are compared in blocks, by the parts of the hash range that hold a shingle, and only pairs leave that
+this exact bound doesn't rule out.
+
+Signatures that very many sets share are found in a sample of the documents, and their rows are then dealt over tasks
+instead of being counted in one; that changes no result.
 
 Cases: documents without words, empty or null, have the set size 0 and are linked with nothing. A row without doc_id
 gets its set size and no component. Rows that repeat a doc_id are one document, each row being returned.
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 
 from sheetwise.llm.batches import arrow_schema, map_batches
 from sheetwise.operators.graph import components
-from sheetwise.runtime import materialize
+from sheetwise.runtime import discard, materialize
 
 SHINGLE = 5
 #: Groups of up to so many sets are compared in full after the hubs.
@@ -46,6 +49,9 @@ PARTS = 0.36
 SINGLE = 64
 #: Pairs of ids, 16 bytes each, that may be broadcast.
 BROADCAST = 1_000_000
+#: One in so many documents is signed to find signatures that at least ``HOT`` of them share (1 in ``HOT_SHARE`` of all
+#: that were signed, if that is more, so fewer than ``HOT_SHARE`` are broadcast).
+SAMPLED, HOT, HOT_SHARE = 64, 64, 100_000
 #: Digests of sets that a task remembers, so as to sign copies once.
 COPIES = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
@@ -130,6 +136,16 @@ def _signature_rows(docs: DataFrame, text: str) -> DataFrame:
     return map_batches(docs.select("doc_id", text), run, SIGNATURES)
 
 
+def _hot_signatures(docs: DataFrame, text: str) -> DataFrame:
+    """(sig): signatures of so many documents that no task should hold all their rows."""
+    sampled = _signature_rows(docs.filter(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(SAMPLED)) == 0), text).filter("check = 0")
+    counts = materialize(sampled.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT), "signature-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    out = materialize(counts.filter(F.col("n") > total / HOT_SHARE).select("sig"), "hot-signatures")
+    discard(counts)
+    return out
+
+
 def part_counts(shingles: np.ndarray) -> np.ndarray:
     """How many shingles each of some size/4 equal parts of the hash range holds, up to 127; the number of parts is a
     power of two, so that neighbours can be added to compare sets of different bands."""
@@ -256,8 +272,13 @@ def _near_in_large_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row; component_id: the least doc_id that links reach."""
     known = docs.filter("doc_id is not null")
-    found = _signature_rows(known, text).selectExpr("*", "count(*) over (partition by sig) as n_group")  # one long: sorted by radix
-    grouped = materialize(found.filter("n_group > 1 or check != 0").drop("n_group"), "signatures", free=True)
+    hot = _hot_signatures(known, text)
+    signed = _signature_rows(known, text).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
+    # rows of a hot signature stay in any case; the others meet in one window, whose key is one long: sorted by radix
+    signed = signed.withColumn("key", F.expr("if(hot, xxhash64(sig, id), sig)"))
+    found = signed.selectExpr("id", "sig", "check", "meta", "hot or check != 0 or count(*) over (partition by key) > 1 as stays")
+    grouped = materialize(found.filter("stays").drop("stays"), "signatures")
+    discard(hot)
     digests = grouped.filter("check != 0")
     least = digests.groupBy("sig", "check").agg(F.min("id").alias("hub"))
     members = digests.join(least, ["sig", "check"]).select("id", F.col("meta").alias("n"), F.when(F.col("meta") > 0, F.col("hub")).otherwise(F.col("id")).alias("rep"))
@@ -266,22 +287,27 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     # copies that different tasks signed are one representative from here on
     rows = shared.join(copies, "id").select("sig", F.col("rep").alias("id"), "n", "meta").distinct()
     multiple = rows.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    rows = materialize(rows.join(multiple, "sig"), "groups", free=True)
+    rows = materialize(rows.join(multiple, "sig"), "groups")
+    members = materialize(members, "members")
+    discard(grouped)
     wanted = rows.select("id").distinct()
-    sets = materialize(_set_rows(known.select("doc_id", text).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), text), "sets", free=True)
+    sets = materialize(_set_rows(known.select("doc_id", text).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), text), "sets")
 
     shared = rows.filter("id > least").groupBy("id", "least").agg(F.count("*").alias("k"))
     hub = shared.groupBy("id").agg(F.max(F.struct("k", -F.col("least"))).alias("hub"))  # the one of most shared signatures
     first = hub.select(F.col("id").alias("a"), (-F.col("hub.col2")).alias("b"))
-    links = materialize(_linked(first, sets), "links", free=True)
-    rest = materialize(_mixed(rows, components(links)), "mixed", free=True)
+    links = materialize(_linked(first, sets), "links")
+    rest = materialize(_mixed(rows, components(links)), "mixed")
+    discard(rows)
     rest = rest.withColumn("family", F.expr("shiftright(meta, 32)"))
     full = rest.filter(F.col("n_sets") > SMALL)
     spare = F.expr("(meta & 4294967295L) - 2147483648L")
-    saturated = full.groupBy("id", "family").agg(F.count("*").alias("in_large"), F.min(spare).alias("spare")).filter("in_large > spare").select("id", "family")
+    least_spare = full.groupBy("sig").agg(F.min(spare).alias("spare"))
+    saturated = full.join(least_spare, "sig").groupBy("id", "family").agg(F.count("*").alias("in_large"), F.min("spare").alias("spare")).filter("in_large > spare").select("id", "family")
     crowded = full.join(saturated, ["id", "family"], "left_semi").select("sig", "id", "component", "n")
-    pairs = materialize(_across(rest.filter(F.col("n_sets") <= SMALL)).distinct().unionByName(_near_in_large_groups(crowded, sets)).distinct(), "candidates", free=True)
-    links = materialize(links.unionByName(_linked(pairs, sets)), "links", free=True)
+    pairs = materialize(_across(rest.filter(F.col("n_sets") <= SMALL)).distinct().unionByName(_near_in_large_groups(crowded, sets)).distinct(), "candidates")
+    before, links = links, materialize(links.unionByName(_linked(pairs, sets)), "links")
+    discard(before, pairs, rest, sets)
     labels = components(links).select(F.col("id").alias("rep"), "component")
     out = members.join(labels, "rep", "left").groupBy("id", "n", "rep").agg(F.count("*").alias("k"), F.min("component").alias("component"))
     # rows that repeat an id share the least component of their texts

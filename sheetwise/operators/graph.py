@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of ``edges`` (columns a, b of long, not null; loops count for nothing).
 
     The component is the least id that can be reached. Each round is written to the shared folder, so lost executors
-    cost no more than one round; the number of rounds grows with the logarithm of a component's size.
+    cost no more than one round; the number of rounds grows with the logarithm of a component's size. What is returned
+    can be discarded like a materialized step.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     mark = None
@@ -39,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark, before = seen, now
         now = materialize(_small_star(_large_star(now)), "edges")
         discard(before)
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out.written_to = now.written_to
+    return out
 
 
 def closure(edges: DataFrame) -> DataFrame:
