@@ -168,7 +168,7 @@ def _set_rows(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union.
+    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union, written.
 
     First by the counts of their parts, whose differences add up to no more than the sets' own: that is exact, and keeps
     nearly all pairs of unlike sets from moving whole sets. Then only the sets that the rest names are shuffled: up to
@@ -183,7 +183,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(named(pairs), "a")
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(named(pairs.select("b").distinct()), "b", "left_semi")
     both = one.join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.expr("100L * common >= 75L * (size(x) + size(y) - common)")).select("a", "b")
+    links = materialize(both.filter(F.expr("100L * common >= 75L * (size(x) + size(y) - common)")).select("a", "b"), "links")
+    discard(pairs)
+    return links
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,6 +195,18 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(open_groups.drop("lo", "hi"), "sig")
 
 
+def _crowded(mixed: DataFrame) -> DataFrame:
+    """(sig, id, component, n): the groups over ``SMALL``, of sets that may meet a partner in such groups alone.
+
+    A pair shares more signatures than the lesser of its spares. If all lie in such groups, either set has as many there,
+    and the least spare of the groups' members is no more than that of the pair.
+    """
+    full = mixed.filter(F.col("n_sets") > SMALL).withColumn("family", F.expr("shiftright(meta, 32)"))
+    least = full.groupBy("sig").agg(F.min(F.expr("(meta & 4294967295L) - 2147483648L")).alias("spare"))
+    reach = full.join(least, "sig").groupBy("id", "family").agg(F.count("*").alias("n_crowded"), F.min("spare").alias("spare"))
+    return full.join(reach.filter("n_crowded > spare"), ["id", "family"], "left_semi").select("sig", "id", "component", "n")
+
+
 def _close(a, b):
     return (a * 4 >= b * 3) & (b * 4 >= a * 3)
 
@@ -274,8 +288,8 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     known = docs.filter("doc_id is not null")
     hot = _hot_signatures(known, text)
     signed = _signature_rows(known, text).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
-    # rows of a hot signature stay in any case; the others meet in one window, whose key is one long: sorted by radix
-    signed = signed.withColumn("key", F.expr("if(hot, xxhash64(sig, id), sig)"))
+    # rows of hot signatures and of digests stay in any case; the others meet in one window, whose key is one long: sorted by radix
+    signed = signed.withColumn("key", F.expr("if(hot or check != 0, xxhash64(sig, id), sig)"))
     found = signed.selectExpr("id", "sig", "check", "meta", "hot or check != 0 or count(*) over (partition by key) > 1 as stays")
     grouped = materialize(found.filter("stays").drop("stays"), "signatures")
     discard(hot)
@@ -296,20 +310,16 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = rows.filter("id > least").groupBy("id", "least").agg(F.count("*").alias("k"))
     hub = shared.groupBy("id").agg(F.max(F.struct("k", -F.col("least"))).alias("hub"))  # the one of most shared signatures
     first = hub.select(F.col("id").alias("a"), (-F.col("hub.col2")).alias("b"))
-    links = materialize(_linked(first, sets), "links")
-    rest = materialize(_mixed(rows, components(links)), "mixed")
-    discard(rows)
-    rest = rest.withColumn("family", F.expr("shiftright(meta, 32)"))
-    full = rest.filter(F.col("n_sets") > SMALL)
-    spare = F.expr("(meta & 4294967295L) - 2147483648L")
-    least_spare = full.groupBy("sig").agg(F.min(spare).alias("spare"))
-    saturated = full.join(least_spare, "sig").groupBy("id", "family").agg(F.count("*").alias("in_large"), F.min("spare").alias("spare")).filter("in_large > spare").select("id", "family")
-    crowded = full.join(saturated, ["id", "family"], "left_semi").select("sig", "id", "component", "n")
-    pairs = materialize(_across(rest.filter(F.col("n_sets") <= SMALL)).distinct().unionByName(_near_in_large_groups(crowded, sets)).distinct(), "candidates")
-    before, links = links, materialize(links.unionByName(_linked(pairs, sets)), "links")
-    discard(before, pairs, rest, sets)
-    labels = components(links).select(F.col("id").alias("rep"), "component")
-    out = members.join(labels, "rep", "left").groupBy("id", "n", "rep").agg(F.count("*").alias("k"), F.min("component").alias("component"))
+    links = _linked(first, sets)
+    labels = components(links)
+    mixed = materialize(_mixed(rows, labels), "mixed")
+    discard(rows, labels)
+    pairs = materialize(_across(mixed.filter(F.col("n_sets") <= SMALL)).distinct().unionByName(_near_in_large_groups(_crowded(mixed), sets)).distinct(), "candidates")
+    more = _linked(pairs, sets)
+    discard(pairs, mixed, sets)
+    labels = components(links.unionByName(more))
+    discard(links, more)
+    out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id", "n", "rep").agg(F.count("*").alias("k"), F.min("component").alias("component"))
     # rows that repeat an id share the least component of their texts
     out = out.withColumn("component_id", F.coalesce("component", "rep")).select("id", "n", "k", "component_id")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))).drop("col")

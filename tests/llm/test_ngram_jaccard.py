@@ -112,3 +112,40 @@ def test_large_groups_in_blocks(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_crowded_groups_of_unequal_spares(spark):
+    """A pair that shares 51 signatures, all in crowded groups: the smaller set has a spare of 50, the larger one of 66."""
+    meta = lambda spare: (9 << 32) + spare + (1 << 31)
+    rows = []
+    for sig in range(51):
+        rows += [(sig, 1, 1000, meta(50), 1), (sig, 2, 1333, meta(66), 2)] + [(sig, 1000 + 10 * sig + k, 1100, meta(70), 1000 + 10 * sig + k) for k in range(6)]
+    rows += [(900, 3, 1000, meta(50), 3)] + [(900, 5000 + k, 1000, meta(60), 5000 + k) for k in range(7)]  # one signature binds nobody
+    mixed = spark.createDataFrame([(*r, 8) for r in rows], "sig long, id long, n long, meta long, component long, n_sets long")
+    got = {r.id for r in nj._crowded(mixed).collect()}
+    assert got == {1, 2}
+
+
+def test_linked_pairs_share_more_than_the_lesser_spare():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        a = int(rng.integers(80, 1500))
+        shared = rng.integers(0, 1 << 63, a).astype("u8")
+        k, m = rng.integers(0, a // 3 + 1), int(rng.integers(0, a // 3 + 1))
+        extra = rng.integers(0, 1 << 63, m).astype("u8")
+        x, y = np.unique(np.r_[shared, extra[: min(k, m)]]), np.unique(np.r_[shared, extra[min(k, m) :]])
+        found = [dict(zip(s.tolist(), meta.tolist())) for s, meta in map(nj.signatures, (x, y))]
+        for family in {meta >> 32 for f in found for meta in f.values()}:
+            own = [{s: (meta & 0xFFFFFFFF) - (1 << 31) for s, meta in f.items() if meta >> 32 == family} for f in found]
+            if all(own):
+                spares = [min(o.values()) for o in own]
+                assert len(own[0].keys() & own[1].keys()) > min(spares)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_signatures(spark, monkeypatch, hot):
+    monkeypatch.setattr(nj, "SAMPLED", 1)
+    monkeypatch.setattr(nj, "HOT", hot)
+    rows = corpus(3)
+    got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows) and len(got) == len(rows)
