@@ -3,19 +3,22 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, and each text closes with an end token. The model
 is p(word | previous) = p(class | class of previous) * p(word | class).
 
-Training runs over every training document. Word counts are summed by Spark. First the ``UNITS`` most frequent words are
-clustered each by itself and every other word by its ending (the ``ENDINGS`` most frequent last three characters, or one
-unit for the rest), so that any word, seen or not, has a class without a lookup. Spark sums the bigram counts of units
-over the whole corpus; exchange clustering then moves one unit at a time to the class that gives the bigram classes
-the highest likelihood, until a sweep moves none. Then all other words that occur ``LEAST`` times or more leave their
+Training runs over every training document. Word counts are summed by Spark. A word has a class of its own choice if it
+occurs ``LEAST`` times or more and makes up at least 1 in ``SHARE`` of all tokens; so there can never be more than
+``SHARE`` such words, and up to ``LEAST`` * ``SHARE`` tokens the count alone decides. All documents are coded once into
+ids of these words and, for rarer and unseen words, of their endings (the ``ENDINGS`` most frequent last three
+characters, or one id for the rest); everything after reads the codes.
+
+First the ``UNITS`` most frequent words are clustered each by itself and every other word by its ending: Spark sums their
+bigram counts over the whole corpus, and exchange clustering moves one at a time to the class that gives the bigram
+classes the highest likelihood, until a sweep moves none. Then all other words with a class of their own leave their
 ending's class: in each sweep Spark sums how often each class stands before and behind a word, tasks find the class
 that gives each word the highest likelihood, and all move at once; the corpus is counted again with the new classes,
-and the best of these labellings stays. Only rarer and unseen words keep the class of their ending. The number of
-classes grows with the root of the number of words so moved.
+and the best of these labellings stays. The number of classes grows with the root of the number of words so moved.
+Ties are settled by count, then by word, and between classes by their number.
 
-What reaches the driver and every task: the unit bigram matrix, the ``KNOWN`` most frequent words with their counts, and
-the words that occur ``LEAST`` times or more with their classes. The counts of all other words stay a table, with which
-the rare words of a text are joined.
+What reaches the driver and every task: the unit bigram matrix, and the words with classes of their own. The counts of all
+other words stay a table, with which the rare words of the texts are joined.
 
 p(class | previous class) is interpolated with the class unigram; p(word | class) = (c + 1) / (N + V + 1) with the count
 of the word, and the tokens and distinct words of its class in training. A null or empty text is its end token alone.
@@ -35,21 +38,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise.llm.batches import arrow_schema, map_batches
-from sheetwise.runtime import materialize
+from sheetwise.runtime import discard, materialize
 
 UNITS = 1000
 ENDINGS = 500
-#: Words that occur so often have a class of their own choice.
+#: Words that occur so often, and make up 1 in ``SHARE`` tokens, have a class of their own choice.
 LEAST = 20
+SHARE = 4_000_000
 #: Classes, or ``CLASSES_BY_ROOT`` times the root of the number of words beyond ``UNITS`` that choose theirs, if more.
 CLASSES = 40
 CLASSES_BY_ROOT = 0.4
 SWEEPS = 12
 #: Sweeps of the words beyond ``UNITS``, each of which reads the corpus.
-WORD_SWEEPS = 2
+WORD_SWEEPS = 3
 #: Neighbours that a task holds before it sums them and hands them on.
 NEIGHBOURS = 2_000_000
-KNOWN = 200_000
 #: Weight of the class unigram against the bigram, in observations of the previous class.
 SMOOTHING = 5.0
 #: Distinct words that a task counts before it hands them on.
@@ -59,16 +62,22 @@ END = b" "
 
 COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])
 BIGRAMS = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("c", T.LongType())])
+CODED = T.StructType(
+    [
+        T.StructField("row", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("held_out", T.BooleanType()),
+        T.StructField("codes", T.ArrayType(T.IntegerType())),
+        T.StructField("rare", T.ArrayType(T.BinaryType())),
+    ]
+)
 SCORES = T.StructType(
     [
         T.StructField("row", T.LongType()),
         T.StructField("doc_id", T.LongType()),
-        T.StructField("word", T.BinaryType()),
-        T.StructField("times", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("n_known", T.LongType()),
-        T.StructField("log_counts", T.DoubleType()),
-        T.StructField("log_model", T.DoubleType()),
+        T.StructField("held_out", T.BooleanType()),
+        *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_own")],
+        *[T.StructField(n, T.DoubleType()) for n in ("log_own", "log_model")],
     ]
 )
 
@@ -113,11 +122,15 @@ class Units:
         self.endings = {e: i for i, e in enumerate(endings, 1 + len(words))}
         self.rest = 1 + len(words) + len(endings)
         self.size = self.rest + 1
+        self.more = list(more)
         self.words |= {w: i for i, w in enumerate(more, self.size)}
 
+    def by_ending(self, word: bytes) -> int:
+        return self.endings.get(ending(word), self.rest)
+
     def of(self, word: bytes) -> int:
         found = self.words.get(word)
-        return found if found is not None else self.endings.get(ending(word), self.rest)
+        return found if found is not None else self.by_ending(word)
 
 
 class _Memo(dict):
@@ -132,19 +145,61 @@ class _Memo(dict):
         return value
 
 
-def unit_bigrams(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
-    """(i, j, c): how often unit j follows unit i; a text begins behind an end."""
+def vocabulary(counts: DataFrame) -> Units:
+    """The words with classes of their own, the first ``UNITS`` by count apart from the others, and the endings."""
+    words = counts.filter(F.col("word") != END)
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
+    frequent = [bytes(r.word) for r in words.orderBy(F.desc("c"), "word").limit(UNITS).collect()]
+    last = words.groupBy(_tail().alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ENDINGS)
+    endings = [r.e.encode() for r in last.collect()]
+    often = words.filter((F.col("c") >= LEAST) & (F.col("c") * SHARE >= total)).select("word").toArrow().column(0).to_pylist()
+    return Units(frequent, endings, sorted(set(often) - set(frequent)))
+
+
+def _tail():
+    return F.substring(F.col("word").cast("string"), -3, 3)
+
+
+def encode(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
+    """``docs`` (with held_out) as codes, the end's last, and the words that have no class of their own, repeats included."""
+    own = docs.sparkSession.sparkContext.broadcast(units)  # fewer than SHARE words
+    low, high = len(units.endings) and min(units.endings.values()), units.rest
+    low = low or high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(own.value.of)
+        for batch in batches:
+            lines, sizes, rare, n_rare = [np.zeros(0, "i4")], [0], [], [0]
+            for t in batch.column(3).to_pylist():
+                words = words_of(t)
+                line = np.fromiter(map(memo.__getitem__, words), "i4", len(words))
+                odd = np.flatnonzero((line >= low) & (line <= high)).tolist()
+                rare += [words[i] for i in odd]
+                n_rare.append(len(odd))
+                lines += [line, np.zeros(1, "i4")]
+                sizes.append(len(words) + 1)
+            codes = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(lines)))
+            words_column = pa.ListArray.from_arrays(pa.array(np.cumsum(n_rare), pa.int32()), pa.array(rare, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), codes, words_column], schema=arrow_schema(CODED))
+
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", text), run, CODED)
+
+
+def _flat(batch: pa.RecordBatch) -> np.ndarray:
+    """All codes of a batch, behind an end: texts close with one, and so each begins behind one."""
+    return np.r_[np.zeros(1, "i4"), batch.column(0).flatten().to_numpy()]
+
+
+def unit_bigrams(coded: DataFrame, units: Units) -> DataFrame:
+    """(i, j, c): how often unit j follows unit i, words beyond the units counting as their endings."""
+    n = units.size
+    small = np.arange(n + len(units.more), dtype="i4")
+    small[n:] = [units.by_ending(w) for w in units.more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = units.size
-        memo = _Memo(units.of)
         total = np.zeros(n * n, "i8")
         for batch in batches:
-            codes: list[int] = [0]
-            for t in batch.column(0).to_pylist():
-                codes += map(memo.__getitem__, words_of(t))
-                codes.append(0)
-            line = np.array(codes, "i8")
+            line = small[_flat(batch)].astype("i8")
             pair, counts = np.unique(line[:-1] * n + line[1:], return_counts=True)
             total[pair] += counts
         found = np.flatnonzero(total)
@@ -152,7 +207,7 @@ def unit_bigrams(docs: DataFrame, units: Units, text: str = "text") -> DataFrame
             x = found[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array((x // n).astype("i4")), pa.array((x % n).astype("i4")), pa.array(total[x])], schema=arrow_schema(BIGRAMS))
 
-    return map_batches(docs.select(text), run, BIGRAMS).groupBy("i", "j").agg(F.sum("c").alias("c"))
+    return map_batches(coded.select("codes"), run, BIGRAMS).groupBy("i", "j").agg(F.sum("c").alias("c"))
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -211,14 +266,14 @@ def likelihood(transitions: np.ndarray) -> float:
     return float(_plogp(t).sum() - _plogp(t.sum(1)).sum() - _plogp(t.sum(0)).sum())
 
 
-def class_bigrams(docs: DataFrame, units: Units, label: np.ndarray, classes: int, neighbours: bool, text: str = "text") -> DataFrame:
+def class_bigrams(coded: DataFrame, units: Units, label: np.ndarray, classes: int, neighbours: bool) -> DataFrame:
     """(i, j, c): the class bigrams, i being -1 - the first class and j the second. With ``neighbours`` also, for the word of
     unit ``units.size`` + i, how often class j follows it, class j - ``classes`` precedes it, and it follows itself
     (j = 2 * ``classes``; these are in no other row)."""
-    width = 2 * classes + 1
+    width, first_more = 2 * classes + 1, units.size
+    labels = coded.sparkSession.sparkContext.broadcast(label.astype("i4"))  # four bytes a word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(units.of)
         table = np.zeros(classes * classes, "i8")
         held: list[np.ndarray] = []
 
@@ -233,18 +288,14 @@ def class_bigrams(docs: DataFrame, units: Units, label: np.ndarray, classes: int
             yield from rows(keys // width, keys % width, counts)
 
         for batch in batches:
-            codes: list[int] = [0]
-            for t in batch.column(0).to_pylist():
-                codes += map(memo.__getitem__, words_of(t))
-                codes.append(0)
-            line = np.array(codes, "i8")
-            first, second, of = line[:-1], line[1:], label[line]
+            line = _flat(batch).astype("i8")
+            first, second, of = line[:-1], line[1:], labels.value[line].astype("i8")
             table += np.bincount(of[:-1] * classes + of[1:], minlength=classes * classes)
             if neighbours:
                 same = first == second
-                before, behind = first >= units.size, (second >= units.size) & ~same
-                held.append((first[before] - units.size) * width + np.where(same, 2 * classes, of[1:])[before])
-                held.append((second[behind] - units.size) * width + classes + of[:-1][behind])
+                before, behind = first >= first_more, (second >= first_more) & ~same
+                held.append((first[before] - first_more) * width + np.where(same, 2 * classes, of[1:])[before])
+                held.append((second[behind] - first_more) * width + classes + of[:-1][behind])
                 if sum(map(len, held)) > NEIGHBOURS:
                     yield from out()
         if held:
@@ -252,7 +303,7 @@ def class_bigrams(docs: DataFrame, units: Units, label: np.ndarray, classes: int
         found = np.flatnonzero(table)
         yield from rows(-1 - found // classes, found % classes, table[found])
 
-    return map_batches(docs.select(text), run, BIGRAMS).groupBy("i", "j").agg(F.sum("c").alias("c"))
+    return map_batches(coded.select("codes"), run, BIGRAMS).groupBy("i", "j").agg(F.sum("c").alias("c"))
 
 
 def best_classes(sums: DataFrame, table: np.ndarray, label: np.ndarray) -> DataFrame:
@@ -301,15 +352,15 @@ class Model:
         self.log_total = np.log10(tokens + types + 1.0)
 
 
-def exchange_words(docs: DataFrame, units: Units, label: np.ndarray, transitions: np.ndarray, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def exchange_words(coded: DataFrame, units: Units, label: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best labels of ``units`` and their class bigrams after sweeps that move the words behind ``units.size``."""
     classes = len(transitions)
     best = label, transitions
     for sweep in range(WORD_SWEEPS + 1):
         last = sweep == WORD_SWEEPS
-        sums = class_bigrams(docs, units, label, classes, not last, text)
+        sums = class_bigrams(coded, units, label, classes, not last)
         if not last:
-            sums = materialize(sums, "class-neighbours", free=True)
+            sums = materialize(sums, "class-neighbours")
         now = np.zeros((classes, classes))
         for part in sums.filter("i < 0").toArrow().to_batches():  # at most classes squared cells
             now[-1 - part.column(0).to_numpy(), part.column(1).to_numpy()] = part.column(2).to_numpy()
@@ -318,7 +369,8 @@ def exchange_words(docs: DataFrame, units: Units, label: np.ndarray, transitions
         best = label, now
         if last:
             break
-        moves = best_classes(sums, now, label[units.size :]).toArrow()
+        moves = best_classes(sums, now, label[units.size :]).toArrow()  # eight bytes a word
+        discard(sums)
         label = label.copy()
         label[units.size + moves.column(0).to_numpy()] = moves.column(1).to_numpy()
         if (label == best[0]).all():
@@ -326,107 +378,80 @@ def exchange_words(docs: DataFrame, units: Units, label: np.ndarray, transitions
     return best
 
 
-def train(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
-    """The model of the training ``docs`` with their word counts."""
-    first = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(UNITS)
-    frequent = [bytes(r.word) for r in first.collect()]
-    tail = F.substring(F.col("word").cast("string"), -3, 3)
-    last = counts.filter(F.col("word") != END).groupBy(tail.alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ENDINGS)
-    endings = [r.e.encode() for r in last.collect()]
-    units = Units(frequent, endings)
-    often = counts.filter((F.col("word") != END) & (F.col("c") >= LEAST)).select("word").toArrow().column(0).to_pylist()
-    more = sorted(set(often) - units.words.keys())
-    table = unit_bigrams(docs, units, text)
+def learn(coded: DataFrame, counts: DataFrame, units: Units) -> Model:
+    """The model of coded training documents with their word counts."""
+    table = unit_bigrams(coded, units)
     matrix = np.zeros((units.size, units.size), "i8")
     for part in table.toArrow().to_batches():  # at most units.size squared cells
         matrix[part.column(0).to_numpy(), part.column(1).to_numpy()] = part.column(2).to_numpy()
-    label = exchange(matrix, max(CLASSES, round(CLASSES_BY_ROOT * math.sqrt(len(more)))))
+    label = exchange(matrix, max(CLASSES, round(CLASSES_BY_ROOT * math.sqrt(len(units.more)))))
     classes = int(label.max()) + 1
     member = np.eye(classes)[label]
     transitions = member.T @ matrix @ member
-    if more:
-        label = np.concatenate([label, label[[units.of(w) for w in more]]])
-        units = Units(frequent, endings, more)
-        label, transitions = exchange_words(docs, units, label, transitions, text)
-        member = np.eye(classes)[label]
-    # distinct words by ending; endings beyond the units' are one row
-    kept = {e: k for e, k in units.endings.items()}
+    if units.more:
+        label = np.concatenate([label, label[[units.by_ending(w) for w in units.more]]])
+        label, transitions = exchange_words(coded, units, label, transitions)
+    # distinct words by class; those of endings beyond the units' are one row
     types = np.zeros(len(label))
     types[list(units.words.values())] = 1
-    rare = counts.filter(F.col("word") != END).groupBy(F.when(tail.isin([e.decode() for e in kept]), tail).alias("e")).agg(F.count("*").alias("v"))
+    kept = [e.decode() for e in units.endings]
+    rare = counts.filter(F.col("word") != END).groupBy(F.when(_tail().isin(kept), _tail()).alias("e")).agg(F.count("*").alias("v"))
     for r in rare.collect():
-        types[kept[r.e.encode()] if r.e is not None else units.rest] += r.v
-    for w in (*frequent, *more):
-        types[units.endings.get(ending(w), units.rest)] -= 1
-    return Model(units, label, transitions, transitions.sum(0), member.T @ types)
-
-
-def frequent_words(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, at most ``most`` and never part of a step of the count's logarithm, and the end token.
-    The cut comes from a histogram of bounded size, so no task sorts the words."""
-    step = F.floor(F.log2("c") * 64)
-    total, cut = 0, None
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        total += r.n
-        if total > most:
-            break
-        cut = r.step
-    return counts.filter((F.col("word") == END) | (step >= F.lit(cut)))
+        types[units.endings[r.e.encode()] if r.e is not None else units.rest] += r.v
+    for w in units.words:
+        if w != END:
+            types[units.by_ending(w)] -= 1
+    return Model(units, label, transitions, transitions.sum(0), np.bincount(label, types, classes))
+
+
+def train(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
+    """The model of training documents with their word counts."""
+    units = vocabulary(counts)
+    coded = materialize(encode(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), text), units, text), "coded")
+    model = learn(coded, counts, units)
+    discard(coded)
+    return model
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
-    spark = docs.sparkSession
+def score(coded: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every coded row."""
+    spark, units = coded.sparkSession, model.units
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, types = whole.n or 0, whole.v
-    head = {r["word"]: r["c"] for r in frequent_words(counts, KNOWN).toArrow().to_pylist()}
-    head.setdefault(END, 0)
-    shared = spark.sparkContext.broadcast((head, model))  # the KNOWN words, and those that occur LEAST times
+    names = spark.createDataFrame([(bytearray(w), i) for w, i in units.words.items()], "word binary, i int")
+    own = np.full(len(model.label), -1, "i8")  # counts of the words with classes of their own
+    for part in counts.join(F.broadcast(names), "word").select("i", "c").toArrow().to_batches():
+        own[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast((own, model.label.astype("i4"), model.log_transition, model.log_total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, model = shared.value
-        label, units = model.label, model.units
-
-        def facts(word: bytes) -> tuple[int, float, int]:
-            c = head.get(word, -1)
-            return int(label[units.of(word)]), math.log10(c + 1) if c >= 0 else 0.0, int(c < 0)
-
-        memo = _Memo(facts)
-        memo_get = memo.__getitem__
-        end = memo[END]
+        own, label, log_transition, log_total = shared.value
+        known = (own > 0).astype("i8")
+        logs = np.log10(np.maximum(own, 0) + 1.0)
         for batch in batches:
-            columns: list[list] = [[] for _ in SCORES]
-            for row, doc_id, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = words_of(t)
-                found = list(map(memo_get, words))
-                found.append(end)
-                classes, logs, rare = zip(*found)
-                line = np.array((0, *classes))
-                n = len(found)
-                log_model = float(model.log_transition[line[:-1], line[1:]].sum() - model.log_total[line[1:]].sum())
-                unknown = Counter(w for w, r in zip(words, rare) if r) if any(rare) else {}
-                # the row of the text itself has a word of its own, so that these rows are spread in the join too
-                for values in ((row, doc_id, b" %d" % row, 0, n, n - sum(rare) - (not head[END]), sum(logs), log_model), *((row, doc_id, w, k, 0, 0, 0.0, 0.0) for w, k in unknown.items())):
-                    for column, v in zip(columns, values):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema(SCORES))], schema=arrow_schema(SCORES))
-
-    rows = map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text), run, SCORES)
-    joined = rows.join(counts.withColumnRenamed("c", "count"), "word", "left")
-    known = F.coalesce(F.col("count"), F.lit(0))
-    summed = joined.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(known > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("log_counts") + F.sum(F.col("times") * F.log10(known + 1))).alias("log_counts"),
-        F.sum("log_model").alias("log_model"),
-    )
+            codes = batch.column(3)
+            flat = codes.flatten().to_numpy()
+            starts = codes.offsets.to_numpy()[:-1] - codes.offsets.to_numpy()[0]
+            of = label[flat]
+            before = np.roll(of, 1)
+            before[starts] = 0
+            sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no text is without its end
+            values = [np.diff(codes.offsets.to_numpy()).astype("i8"), sums(known[flat]), sums(logs[flat]), sums(log_transition[before, of] - log_total[of])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *map(pa.array, values)], schema=arrow_schema(SCORES))
+
+    rows = map_batches(coded.select("row", "doc_id", "held_out", "codes"), run, SCORES)
+    rare = coded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rare = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rare"))
+    summed = rows.join(rare, "row", "left")
+    log_counts = F.col("log_own") + F.coalesce("log_rare", F.lit(0.0))
     return summed.select(
         "doc_id",
+        "held_out",
         "n_tokens",
-        "n_known",
+        (F.col("n_own") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.lit(math.log10(tokens + types + 1))).alias("base_score"),
-        (F.col("log_counts") + F.col("log_model")).alias("score"),
+        (log_counts - F.col("n_tokens") * F.lit(math.log10(tokens + types + 1))).alias("base_score"),
+        (log_counts + F.col("log_model")).alias("score"),
     )
 
 
@@ -440,8 +465,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op3_class_lm(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    training = docs.filter(~held_out())
-    counts = materialize(word_counts(training), "word-counts", free=True)
-    scored = perplexity(score(docs, counts, train(training, counts)))
-    return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out())
+    counts = materialize(word_counts(docs.filter("not held_out")), "word-counts")
+    units = vocabulary(counts)
+    coded = materialize(encode(docs, units), "coded")
+    model = learn(coded.filter("not held_out"), counts, units)
+    return perplexity(score(coded, counts, model)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
