@@ -1,12 +1,13 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-From a bounded sample of labelled documents (``SAMPLE`` of each label, texts of up to ``LONGEST`` characters) preference
-pairs are drawn: a document labelled 1 over one labelled 0. The weights of a linear score minimise the logistic loss of
-the pairs' feature differences. The threshold is the quantile of the sample's scores at the share of label 0 among all
-labelled rows that may be learnt from; there the reported score is ``THRESHOLD``.
+From a bounded sample of labelled documents (``SAMPLE`` of each label) preference pairs are drawn: a document labelled 1
+over one labelled 0. The weights of a linear score minimise the logistic loss of the pairs' feature differences. The
+threshold is the quantile, at the share of label 0, of the scores of all labelled rows that may be learnt from; above it
+the reported score is over ``THRESHOLD``, and rows that tie with it stay below.
 
 Features are computed from the whole text alone. Null and empty texts have the features of a text without words. With
-labels of one kind only every text scores 1 or 0, without labels 0. Repeated rows are scored one by one.
+labels of one kind only every text scores 1 or 0, without labels 0. Repeated rows are scored one by one. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise.llm.batches import extended, map_batches, texts, with_columns
-from sheetwise.llm.labelled import remainder, sample
+from sheetwise.llm.labelled import chosen, remainder
 from sheetwise.llm.quality_rules import STOP_WORDS
+from sheetwise.runtime import materialize
 
 SAMPLE = 3000
-LONGEST = 100_000
 PAIRS = 60_000
 ROUNDS = 300
 RATE = 0.5
@@ -87,12 +88,10 @@ class Ranking:
         return 1 / (1 + np.exp(-odds))
 
 
-def train(rows: list[tuple[str, int]], share_of_low: float, seed: int = SEED) -> Ranking | float:
-    """The ranking; a constant score without labels of both kinds."""
-    y = np.array([label for _, label in rows], "i8")
+def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Ranking | float:
+    """The ranking of feature rows, its cut still 0; a constant score without labels of both kinds."""
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.0
-    x = np.array([features(t) for t, _ in rows], "f8")
     mean, deviation = x.mean(0), x.std(0) + 1e-9
     model = Ranking(mean, deviation, np.zeros(x.shape[1]), 0.0, 1.0)
     z = np.clip((x - mean) / deviation, -8, 8)
@@ -103,36 +102,68 @@ def train(rows: list[tuple[str, int]], share_of_low: float, seed: int = SEED) ->
         lost = 1 / (1 + np.exp(np.clip(difference @ model.weights, -30, 30)))
         model.weights += RATE * (lost @ difference / PAIRS - PENALTY * model.weights)
     raw = model.raw(x)
-    weight = np.where(y == 0, share_of_low / (y == 0).sum(), (1 - share_of_low) / (y == 1).sum())
-    order = np.argsort(raw, kind="stable")
-    at = int(np.searchsorted(np.cumsum(weight[order]), share_of_low - 1e-9))
-    model.cut = float(raw[order[at : at + 2]].mean())  # between the quantile's row and the next
     model.scale = 8.0 / max(float(np.median(raw[y == 1]) - np.median(raw[y == 0])), 1e-6)
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Ranking | float:
-    allowed = remainder("doc_id", 4) != 2
-    share = labels.filter(allowed).agg(F.avg(1 - F.col("quality")).alias("low")).first().low
-    return train(sample(docs, labels, "quality", allowed, SAMPLE, LONGEST), float(share or 0.0))
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the array features of ``FEATURES``, of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield with_columns(batch, {"features": pa.array([features(t) for t in texts(batch, text)], pa.list_(pa.float64()))})
+
+    return map_batches(docs, run, extended(docs, T.StructField("features", T.ArrayType(T.DoubleType()))))
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed) -> Ranking | float:
+    """The ranking learnt from ``labels`` where ``allowed``, without its cut. Only features reach the driver."""
+    found = with_features(chosen(docs, labels, "quality", allowed, SAMPLE)).select("k", "doc_id", "label", "features").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["k"], r["doc_id"], r["features"]))
+    return fit(np.array([r["features"] for r in found], "f8").reshape(-1, len(FEATURES)), np.array([r["label"] for r in found], "i8"))
 
 
-def quality(docs: DataFrame, model: Ranking | float, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from ``THRESHOLD``)."""
+def with_raw(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:
+    """``docs`` with raw, the linear score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = texts(batch, text)
-            if isinstance(model, float) or not found:
-                scores = np.full(len(found), model if isinstance(model, float) else 0.0)
-            else:
-                scores = model.score(np.array([features(t) for t in found], "f8"))
-            yield with_columns(batch, {"score": pa.array(scores), "predicted": pa.array((scores >= THRESHOLD).astype("i4"))})
+            yield with_columns(batch, {"raw": pa.array(model.raw(np.array([features(t) for t in found], "f8")) if found else np.zeros(0))})
+
+    return map_batches(docs, run, extended(docs, T.StructField("raw", T.DoubleType())))
+
+
+def quantile_cut(scored: DataFrame, labels: DataFrame, allowed) -> float:
+    """The least cut above the quantile of raw at the share of label 0, over all labelled rows of ``scored`` (doc_id, raw)."""
+    known = labels.filter(allowed & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = scored.select("doc_id", "raw").join(known, "doc_id")
+    share = float(rows.agg(F.avg(1 - F.col("quality")).alias("low")).first().low or 0.0)
+    found = rows.agg(F.percentile_approx("raw", min(max(share, 0.0), 1.0), 100_000).alias("cut")).first().cut
+    return float(found or 0.0) + 1e-6
+
+
+def scored(rows: DataFrame, model: Ranking | float) -> DataFrame:
+    """``rows`` (with raw) with score (0 to 1) and predicted (1 from ``THRESHOLD``)."""
+    if isinstance(model, float):
+        score = F.lit(model)
+    else:
+        odds = (F.col("raw") - model.cut) * model.scale
+        score = 1 / (1 + F.exp(-(F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0)) + float(np.log(THRESHOLD / (1 - THRESHOLD))))))
+    return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
 
-    return map_batches(docs, run, extended(docs, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())))
+def quality(docs: DataFrame, labels: DataFrame, allowed, text: str = "text") -> DataFrame:
+    """doc_id, score and predicted of every row of ``docs``, learnt from ``labels`` where ``allowed``."""
+    model = train(docs.select("doc_id", F.col(text).alias("text")), labels, allowed)
+    if isinstance(model, float):
+        return scored(docs.select("doc_id"), model)
+    rows = materialize(with_raw(docs.select("doc_id", text), model, text).select("doc_id", "raw"), "quality")
+    model.cut = quantile_cut(rows, labels, allowed)
+    return scored(rows, model).drop("raw")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    out = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder("doc_id", 4) != 2)
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -5,13 +5,13 @@ itself (all hashed). Two
 gated recurrent layers read a window of words in either direction; attention pools their states into one logit. A text
 is scored over all its overlapping windows, from its first word to its last, and has the score of its worst window.
 
-Training takes a bounded sample of labelled documents (``SAMPLE`` of each label, texts of up to ``LONGEST``
-characters). The label belongs to a document and not to its windows: of a toxic document the window is learnt that holds
+Training takes a bounded sample of labelled documents (``SAMPLE`` of each label; of texts over ``LONGEST`` characters a
+window of so many, at a place that a hash of the id chooses). The label belongs to a document and not to its windows: of a toxic document the window is learnt that holds
 the word with the highest document-level log-odds, of a clean one the window so chosen and others at random; later
 epochs choose the windows by the network itself. The logit is centred at the cut with the fewest errors on the sample.
 
 Null, empty and blank texts have no words and score as the network's empty window, 0. Without labelled rows of both
-kinds every text scores 0. Repeated rows are scored one by one.
+kinds every text scores 0. Repeated rows are scored one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -87,6 +87,52 @@ def test_ranking_prefers_the_better():
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["the", "of", "river", "stone", "and", "cloud", "in"], 60)) for _ in range(80)]
     bad = [" ".join(f"{w}$$$" for w in rng.choice(["sale", "win", "cash"], 60)) for _ in range(40)]
-    model = qc.train([(t, 1) for t in good] + [(t, 0) for t in bad], 1 / 3)
-    score = model.score(np.array([qc.features(t) for t in good + bad]))
-    assert (score[:80] >= qc.THRESHOLD).all() and (score[80:] < qc.THRESHOLD).all()
+    x, y = np.array([qc.features(t) for t in good + bad]), np.array([1] * 80 + [0] * 40)
+    model = qc.fit(x, y)
+    raw = model.raw(x)
+    assert raw[:80].min() > raw[80:].max()
+
+
+def test_weights_minimise_the_pair_loss():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (400, len(qc.FEATURES)))
+    y = (x @ rng.normal(0, 1, x.shape[1]) + rng.normal(0, 1, 400) > 0).astype("i8")
+    model = qc.fit(x, y)
+    z = np.clip((x - model.mean) / model.deviation, -8, 8)
+    apart = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, x.shape[1])  # every pair, not the drawn ones
+    loss = lambda w: np.logaddexp(0, -apart @ w).mean() + qc.PENALTY * (w @ w) / 2
+    for _ in range(30):
+        assert loss(model.weights) < loss(model.weights + rng.normal(0, 0.3, len(model.weights))) + 1e-3
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Scores of the query from its weights and the quantile of all learnable rows, by plain counting."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    allowed = qc.remainder("doc_id", 4) != 2
+    model = qc.train(docs, labels, allowed)
+    raw = {r.doc_id: float(model.raw(np.array([qc.features(r.text or "")]))[0]) for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in raw}
+    low = sum(q == 0 for q in known.values())
+    cut = sorted(raw[d] for d in known)[low - 1] + 1e-6
+    got = {r.doc_id: r for r in qc.op9_quality_classifier(spark, folder).collect()}
+    assert got.keys() == raw.keys()
+    for d, r in got.items():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip((raw[d] - cut) * model.scale, -30, 30)) * 3 / 7), rel=1e-6)
+    assert sum(1 - got[d].predicted for d in known) == low
+
+
+def test_samples(spark):
+    """Only documents that exist are chosen, and long texts are learnt from by windows."""
+    docs = spark.createDataFrame([(k, "x" * 50 + str(k)) for k in range(40)] + [(100, "".join(map(str, range(200))))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(100, 1)], "doc_id long, toxic int")
+    got = tx.sample(docs, labels, "toxic", qc.F.lit(True), 100, 20)
+    assert len(got) == 41 and all(len(t) == 20 for t, _ in got)
+    assert any(t in "".join(map(str, range(200))) for t, _ in got)
+    assert len(tx.sample(docs, labels, "toxic", qc.F.lit(True), 5, 20)) == 10
+
+
+def test_no_documents(spark, odd, tmp_path):
+    folder = odd_folder(spark, odd.limit(0), tmp_path, [(4, 1, 0), (5, 0, 1)])
+    for query in (tx.op10_toxicity, qc.op9_quality_classifier):
+        assert query(spark, folder).count() == 0
