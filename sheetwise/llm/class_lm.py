@@ -52,11 +52,11 @@ SWEEPS = 12
 #: Sweeps of the words beyond ``UNITS``, each of which reads the corpus.
 WORD_SWEEPS = 3
 #: Neighbours that a task holds before it sums them and hands them on.
-NEIGHBOURS = 2_000_000
+NEIGHBOURS = 1_000_000
 #: Weight of the class unigram against the bigram, in observations of the previous class.
 SMOOTHING = 5.0
 #: Distinct words that a task counts before it hands them on.
-HELD = 500_000
+HELD = 300_000
 #: The end token; no word has a space.
 END = b" "
 
@@ -134,7 +134,7 @@ class Units:
 
 
 class _Memo(dict):
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -315,10 +315,12 @@ def best_classes(sums: DataFrame, table: np.ndarray, label: np.ndarray) -> DataF
         now = table.astype("f8")
         for batch in batches:
             chosen = []
-            for word, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cells = batch.column(1).flatten()
+            classes, counted = (cells.field(k).to_numpy() for k in ("j", "c"))
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            for word, start, end in zip(batch.column(0).to_pylist(), np.r_[0, ends[:-1]], ends):
                 counts = np.zeros(2 * n + 1)
-                for x in cells:
-                    counts[x["j"]] = x["c"]
+                counts[classes[start:end]] = counted[start:end]
                 out, into, own, old = counts[:n], counts[n:-1], counts[-1], label[word]
                 now[old] -= out
                 now[:, old] -= into
