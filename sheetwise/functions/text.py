@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: Fraction characters of printed dimensions.
 VULGAR = {"½": 0.5, "¼": 0.25, "¾": 0.75, "⅛": 0.125, "⅜": 0.375, "⅝": 0.625, "⅞": 0.875}
 MIN_FEET, MAX_FEET = 0.5, 500.0
-FEET_INCHES = "^([0-9]{1,3})\\s*'\\s*-?\\s*(?:([0-9]{1,2})\\s*)?(?:([½¼¾⅛⅜⅝⅞])|([0-9]{1,2})\\s*/\\s*([0-9]{1,2}))?\\s*[\"']?$"
 #: Name tokens that hint at a layer's role, in order of precedence.
 ROLE_TOKENS = (
     ("wall_structural", ("wall", "walls", "walll")),
@@ -26,26 +25,43 @@ ROLE_TOKENS = (
     ("title_block", ("sheet", "title", "format")),
     ("vehicle", ("car", "cars", "vehicle")),
 )
-LEVEL = "(?i)\\bLVL\\.?\\s*([+-])\\s*([0-9]+(?:\\.[0-9]+)?)\\s*'\\s*(?:-?\\s*([0-9]+(?:\\.[0-9]+)?))?"
-CLEAR = "(?i)\\bCLEAR\\s*H(?:T|EIGHT)\\.?\\s*[-:=]?\\s*([0-9]+(?:\\.[0-9]+)?)\\s*'\\s*(?:-?\\s*([0-9]+(?:\\.[0-9]+)?))?"
-DOUBLE = "(?i)\\bDOUBLE\\s*H[A-Z]*T\\b|\\bOPEN\\s+TO\\s+ABOVE\\b"
-BELOW = "(?i)\\bBELOW\\b|\\bOPEN\\s+TO\\s+SKY\\b"
-POOL = "(?i)\\bPOOL\\b"
-
-
 def _number(text: Column) -> Column:
     return F.when(text != "", text.cast("double"))
 
 
+def _digits(text: Column, most: int) -> Column:
+    """A run of 1 to ``most`` digits as a number, else null."""
+    return F.when(text.rlike(f"^[0-9]{{1,{most}}}$"), text.cast("double"))
+
+
 def parse_feet(text: Column) -> Column:
-    """Feet of a printed dimension such as 14'-5 1/2", or null: inches stay under 12 and feet within the bounds."""
-    t = F.trim(F.regexp_replace(F.upper(F.trim(text)), "X+$", ""))
-    part = [F.regexp_extract(t, FEET_INCHES, k) for k in range(6)]
-    glyph = F.coalesce(*[F.when(part[3] == c, F.lit(v)) for c, v in VULGAR.items()])
-    fraction = F.when(part[4] == "", F.coalesce(glyph, F.lit(0.0))).otherwise(F.when(_number(part[5]) != 0, F.try_divide(_number(part[4]), _number(part[5]))))
-    inches = F.coalesce(_number(part[2]), F.lit(0.0)) + fraction
-    feet = _number(part[1]) + inches / 12
-    return F.when((part[0] != "") & (inches < 12) & feet.between(MIN_FEET, MAX_FEET), feet)
+    """Feet of a printed dimension such as 14'-5 1/2", or null: inches stay under 12 and feet within the bounds.
+
+    The foot mark parts feet from inches. Inches are a whole number, a fraction or both; where both run together before the
+    slash, the whole number takes up to two digits and leaves the fraction at least one.
+    """
+    t = F.trim(F.rtrim(F.upper(F.trim(text)), F.lit("X")))
+    after = F.when(F.instr(t, "'") > 0, F.trim(F.substr(t, F.instr(t, "'") + 1)))
+    after = F.trim(F.when(after.startswith("-"), F.substr(after, F.lit(2))).otherwise(after))
+    after = F.trim(F.when(after.endswith('"') | after.endswith("'"), F.substr(after, F.lit(1), F.length(after) - 1)).otherwise(after))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(after, r"\s*/\s*", "/"), "([" + "".join(VULGAR) + "])", " $1"))
+    words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    n, last, first = F.size(words), F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(1))
+    glyph = F.coalesce(*[F.when(last == c, F.lit(v)) for c, v in VULGAR.items()])
+    over, under = F.substring_index(last, "/", 1), F.substring_index(last, "/", -1)
+    together = F.least(F.length(over) - 1, F.lit(2))  # digits of the whole number in front of a fraction
+    split_whole = F.when(together > 0, _digits(F.substr(over, F.lit(1), together), 2)).otherwise(0.0)
+    quotient = lambda upper: F.when(_digits(under, 2) != 0, _digits(upper, 2) / _digits(under, 2))
+    inches = (
+        F.when(n == 0, 0.0)
+        .when((n == 1) & glyph.isNotNull(), glyph)
+        .when((n == 2) & glyph.isNotNull(), _digits(first, 2) + glyph)
+        .when((n == 1) & last.contains("/"), split_whole + quotient(F.substr(over, together + 1)))
+        .when((n == 2) & last.contains("/"), _digits(first, 2) + quotient(over))
+        .when(n == 1, _digits(first, 2))
+    )
+    feet = _digits(F.trim(F.substring_index(t, "'", 1)), 3) + inches / 12
+    return F.when((inches < 12) & feet.between(MIN_FEET, MAX_FEET), feet)
 
 
 def parse_feet_group(text: Column) -> Column:
@@ -55,28 +71,74 @@ def parse_feet_group(text: Column) -> Column:
 
 
 def clean_label(text: Column) -> Column:
-    """Multi-line text without its formatting codes, on one line."""
-    t = F.regexp_replace(text, r"\\[PpNn]", " ")
-    t = F.regexp_replace(t, r"\\S([^;^/#]*)[/^#]([^;]*);", "$1/$2")
-    t = F.regexp_replace(t, r"\\[A-Za-z][^;\\]*;", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[{}]", ""), r"\s+", " "))
+    """Multi-line text without its formatting codes, on one line. A code is a backslash and a letter: P and N break the line,
+    S stacks two parts about a separator up to its semicolon, and any other ends with its semicolon."""
+
+    def plain(part: Column) -> Column:
+        code, body = F.upper(F.substr(part, F.lit(1), F.lit(1))), F.substr(part, F.lit(2))
+        inside, behind = F.substring_index(body, ";", 1), F.substr(body, F.instr(body, ";") + 1)
+        closed = F.instr(body, ";") > 0
+        stacked = F.translate(inside, "^#", "//")
+        return (
+            F.when(code.isin("P", "N"), F.concat(F.lit(" "), body))
+            .when(closed & part.startswith("S") & (F.instr(stacked, "/") > 0), F.concat(stacked, behind))
+            .when(closed & code.rlike("[A-Z]"), behind)
+            .otherwise(F.concat(F.lit("\\"), part))
+        )
+
+    parts = F.split(text, r"\\")
+    joined = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), plain), ""))
+    return F.trim(F.regexp_replace(F.translate(joined, "{}", ""), r"\s+", " "))
+
+
+def _measure(text: Column) -> Column:
+    """Feet at the beginning of a text: a number, the foot mark, and perhaps inches behind a dash; else null."""
+    feet = F.trim(F.substring_index(text, "'", 1))
+    after = F.ltrim(F.substr(text, F.instr(text, "'") + 1))
+    after = F.ltrim(F.when(after.startswith("-"), F.substr(after, F.lit(2))).otherwise(after))
+    inches = _number(F.regexp_extract(after, "^[0-9]+([.][0-9]+)?", 0))
+    return F.when((F.instr(text, "'") > 0) & feet.rlike("^[0-9]+([.][0-9]+)?$"), feet.cast("double") + F.coalesce(inches, F.lit(0.0)) / 12)
+
+
+def _behind(text: Column, word: str, read) -> Column:
+    """The first value that ``read`` finds behind ``word``."""
+    parts = F.split(text, f"\\b{word}")
+    found = F.filter(F.transform(F.slice(parts, 2, F.size(parts)), lambda x: read(x)), lambda x: x.isNotNull())
+    return F.try_element_at(found, F.lit(1))
+
+
+def _without(text: Column, marks: str) -> Column:
+    """``text`` without one leading character of ``marks`` and the spaces around it."""
+    t = F.ltrim(text)
+    return F.ltrim(F.when(F.substr(t, F.lit(1), F.lit(1)).isin(*marks), F.substr(t, F.lit(2))).otherwise(t))
+
+
+def _level(text: Column) -> Column:
+    t = F.ltrim(F.when(text.startswith("."), F.substr(text, F.lit(2))).otherwise(text))
+    sign = F.when(t.startswith("-"), -1.0).when(t.startswith("+"), 1.0)
+    return sign * _measure(F.ltrim(F.substr(t, F.lit(2))))
 
 
-def _feet_inches(text: Column, pattern: str, at: int) -> Column:
-    return _number(F.regexp_extract(text, pattern, at)) + F.coalesce(_number(F.regexp_extract(text, pattern, at + 1)), F.lit(0.0)) / 12
+def _clear(text: Column) -> Column:
+    t = F.ltrim(text)
+    t = F.when(t.startswith("HEIGHT"), F.substr(t, F.lit(7))).when(t.startswith("HT"), F.substr(t, F.lit(3)))
+    return _measure(_without(F.when(t.startswith("."), F.substr(t, F.lit(2))).otherwise(t), "-:="))
 
 
 def label_attributes(text: Column) -> dict[str, Column]:
     """What a room label states: level_offset_ft, clear_height_ft, double_height, below and pool."""
     t = clean_label(text)
-    sign = F.when(F.regexp_extract(t, LEVEL, 1) == "-", -1.0).otherwise(1.0)
+    upper = F.upper(t)
+    words = F.filter(F.split(F.regexp_replace(upper, r"([^A-Z0-9_\s])", " $1 "), r"\s+"), lambda w: w != "")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    says = lambda phrase: line.contains(f" {phrase} ")
     return {
         "label": t,
-        "level_offset_ft": F.round(sign * _feet_inches(t, LEVEL, 2), 9),
-        "clear_height_ft": F.round(_feet_inches(t, CLEAR, 1), 9),
-        "double_height": t.rlike(DOUBLE),
-        "below": t.rlike(BELOW),
-        "pool": t.rlike(POOL),
+        "level_offset_ft": F.round(_behind(upper, "LVL", _level), 9),
+        "clear_height_ft": F.round(_behind(upper, "CLEAR", _clear), 9),
+        "double_height": line.rlike(" DOUBLE ?H[A-Z]*T ") | says("OPEN TO ABOVE"),
+        "below": says("BELOW") | says("OPEN TO SKY"),
+        "pool": says("POOL"),
     }
 
 

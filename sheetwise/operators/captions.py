@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 from sheetwise.runtime import ship_package
 
 
+#: Codes of where a caption stands, best first.
+UNDER, INSIDE, OVER, BESIDE = 0, 1, 2, 3
+
+
 def placement(reach: float) -> Column:
-    """(class, distance) of a point (x, y) against a box (x0..y1): 0 below, 1 inside, 2 above, 3 beside; null if unrelated."""
-    x, y, x0, y0, x1, y1 = (F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1"))
-    near_x = (x >= x0 - reach / 3) & (x <= x1 + reach / 3)
-    gap = F.when(x < x0, x0 - x).otherwise(x - x1)
-    of = lambda k, d: F.struct(F.lit(k).alias("class"), F.round(d, 9).alias("distance"))
-    return (
-        F.when((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1), of(1, F.lit(0.0)))
-        .when(near_x & (y < y0) & (y0 - y <= reach), of(0, y0 - y))
-        .when(near_x & (y > y1) & (y - y1 <= reach), of(2, y - y1))
-        .when((y >= y0) & (y <= y1) & (gap > 0) & (gap <= reach), of(3, gap))
+    """Where a point (x, y) stands to a box (x0..y1): a struct of a code above as class and of the distance; null if it is
+    further than ``reach``, or over or under the box and more than a third of that outside its sides."""
+    aside = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))  # how far outside, along either axis
+    below, above = F.greatest(F.col("y0") - F.col("y"), F.lit(0.0)), F.greatest(F.col("y") - F.col("y1"), F.lit(0.0))
+    apart = F.greatest(below, above)
+    code = (
+        F.when((aside == 0) & (apart == 0), INSIDE)
+        .when((apart == 0) & (aside <= reach), BESIDE)
+        .when((apart > 0) & (apart <= reach) & (aside <= reach / 3), F.when(below > 0, UNDER).otherwise(OVER))
     )
+    return F.when(code.isNotNull(), F.struct(code.alias("class"), F.round(F.when(code == BESIDE, aside).otherwise(apart), 9).alias("distance")))
 
 
 def caption_plans(captions: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:

@@ -9,6 +9,7 @@ from sheetwise.functions.text import is_uninformative
 
 #: Weights of a candidate's signals.
 WEIGHTS = {"layer_role": 1.0, "length": 1.0, "connectivity": 2.0, "closure": 2.0, "thickness": 0.5, "instancing": 1.5, "glyph": 1.5, "nested_outline": 2.5}
+#: Floors, ceilings and shares that decide on candidates and layers.
 ACCEPT_FLOOR, REJECT_CEILING = 0.65, 0.35
 VERDICT_FLOOR, OVERRIDE_FLOOR = 0.70, 0.85
 WALL_FLOOR, RAISED = 0.70, 0.75

@@ -16,10 +16,14 @@ aggregate(cs, named_struct('u', cast(array() as array<double>), 'r', cast(array(
 def interval_pairs(faces: DataFrame, thinnest: float, thickest: float, shortest: float) -> DataFrame:
     """Walls between parallel faces (FAMILY, lo, hi, off): in each slab between neighbouring ends the thinnest pairs go
     first and each face is used once; neighbouring slabs of one pair join. Returns FAMILY, a, b (offsets), lo, hi."""
+    order = Window.partitionBy(*FAMILY).orderBy("c0")
     cuts = faces.select(*FAMILY, F.explode(F.array("lo", "hi")).alias("c0")).distinct()
-    slabs = cuts.withColumn("c1", F.lead("c0").over(Window.partitionBy(*FAMILY).orderBy("c0"))).filter("c1 is not null")
-    mid = (F.col("c0") + F.col("c1")) / 2
-    active = slabs.join(faces, FAMILY).filter((F.col("lo") <= mid + 1e-9) & (F.col("hi") >= mid - 1e-9)).select(*FAMILY, "c0", "c1", "off").distinct()
+    cuts = cuts.withColumns({"c1": F.lead("c0").over(order), "slab": F.row_number().over(order)})
+    at = lambda end: cuts.select(*FAMILY, F.col("c0").alias(end), F.col("slab").alias(f"{end}_slab"))
+    # each face meets the slabs between its ends by their numbers, so that no slab is tested against faces it hasn't
+    spread = faces.filter("lo < hi").join(at("lo"), [*FAMILY, "lo"]).join(at("hi"), [*FAMILY, "hi"])
+    spread = spread.select(*FAMILY, "off", F.explode(F.sequence("lo_slab", F.col("hi_slab") - 1)).alias("slab")).distinct()
+    active = spread.join(cuts, [*FAMILY, "slab"]).select(*FAMILY, "c0", "c1", "off")
     slab = [*FAMILY, "c0", "c1"]
     pairs = active.withColumnRenamed("off", "a").join(active.withColumnRenamed("off", "b"), slab).withColumn("t", F.col("b") - F.col("a"))
     pairs = pairs.filter((F.col("t") >= thinnest - 1e-9) & (F.col("t") <= thickest + 1e-9) & (F.col("t") > 0))

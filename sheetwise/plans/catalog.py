@@ -93,7 +93,19 @@ def thickness_scale_check(spark, sf):
 
 # --- sweeps -------------------------------------------------------------------------------------------------------
 
-@query()
+@query(f"""
+WITH RECURSIVE f AS (SELECT DISTINCT sheet_id, layer, family, lo, hi, off FROM ({t.SEGMENTS})),
+c AS (SELECT DISTINCT sheet_id, layer, family, c0 FROM (SELECT sheet_id, layer, family, unnest([lo, hi]) AS c0 FROM f)),
+s AS (SELECT *, lead(c0) OVER (PARTITION BY sheet_id, layer, family ORDER BY c0) AS c1 FROM c),
+v AS (SELECT DISTINCT s.*, off FROM s JOIN f USING (sheet_id, layer, family) WHERE c1 IS NOT NULL AND lo <= c0 AND hi >= c1),
+o AS (SELECT dense_rank() OVER (ORDER BY x.sheet_id, x.layer, x.family, x.c0) AS slab, row_number() OVER (PARTITION BY x.sheet_id, x.layer, x.family, x.c0 ORDER BY y.off - x.off, x.off, y.off) AS k,
+             x.sheet_id, x.layer, x.family, x.c0, x.c1, x.off AS a, y.off AS b
+      FROM v x JOIN v y ON y.sheet_id = x.sheet_id AND y.layer = x.layer AND y.family = x.family AND y.c0 = x.c0 AND y.off - x.off BETWEEN 0.25 - 1e-9 AND 1.0 + 1e-9),
+g AS (SELECT slab, k, a, b, [a, b] AS used, true AS taken FROM o WHERE k = 1
+      UNION ALL SELECT o.slab, o.k, o.a, o.b, CASE WHEN list_has_any(g.used, [o.a, o.b]) THEN g.used ELSE list_concat(g.used, [o.a, o.b]) END, NOT list_has_any(g.used, [o.a, o.b]) FROM g JOIN o ON o.slab = g.slab AND o.k = g.k + 1),
+r AS (SELECT o.*, CASE WHEN c0 <= lag(c1) OVER w + 1e-8 THEN 0 ELSE 1 END AS fresh FROM o JOIN g ON g.slab = o.slab AND g.k = o.k AND g.taken WINDOW w AS (PARTITION BY o.sheet_id, o.layer, o.family, o.a, o.b ORDER BY c0)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY sheet_id, layer, family, a, b ORDER BY c0) AS run FROM r)
+SELECT sheet_id, layer, family, a, b, min(c0) AS lo, max(c1) AS hi FROM i GROUP BY sheet_id, layer, family, a, b, run HAVING max(c1) - min(c0) + 1e-9 >= greatest(1.0, b - a)""")
 def interval_pairs(spark, sf):
     return sweep.interval_pairs(drawing(spark, sf, t.SEGMENTS), 0.25, 1.0, 1.0)
 
@@ -115,7 +127,7 @@ def coverage_length(spark, sf):
     return sweep.coverage_length(drawing(spark, sf, t.SEGMENTS), ["sheet_id", "layer"]).withColumn("covered", F.round("covered", 6))
 
 
-_SHORT = f"SELECT DISTINCT sheet_id, layer, family, CAST(floor(lo / 40) * 40 AS DOUBLE) AS lo, CAST(floor(lo / 40) * 40 + 20 AS DOUBLE) AS hi, off FROM ({t.SEGMENTS}) WHERE off < 20"
+_SHORT = f"SELECT DISTINCT sheet_id, layer, family, CAST(floor(lo / 40) * 40 AS DOUBLE) AS lo, CAST(floor(lo / 40) * 40 + 20 AS DOUBLE) AS hi, off FROM ({t.SEGMENTS})"
 
 
 @query(f"""
@@ -275,29 +287,25 @@ def scale_ladder(spark, sf):
 
 # --- text ---------------------------------------------------------------------------------------------------------
 
-_FEET_SQL = """
-WITH s AS (SELECT text_id, upper(trim(regexp_replace(upper(trim(text)), 'X+$', ''))) AS s FROM (SELECT text_id, {source} AS text FROM ({texts}))),
-g AS (SELECT text_id, s, regexp_extract(s, '{pattern}', ['f', 'i', 'v', 'a', 'b']) AS m, regexp_matches(s, '{pattern}') AS ok FROM s),
-n AS (SELECT text_id, ok, TRY_CAST(m.f AS DOUBLE) AS f, coalesce(TRY_CAST(m.i AS DOUBLE), 0) AS i, TRY_CAST(m.a AS DOUBLE) AS a, TRY_CAST(m.b AS DOUBLE) AS b FROM g),
-z AS (SELECT text_id, ok AND (a IS NULL OR b <> 0) AS ok, f, i + CASE WHEN a IS NULL THEN 0 WHEN b <> 0 THEN a / b END AS i FROM n)
+#: What the texts of forms 0 to 2 state, from how they are made: feet and inches of each dimension.
+_STATED = """
+WITH p AS (SELECT p_partkey AS text_id, CAST(p_size AS DOUBLE) AS size, p_partkey AS k FROM part),
+d AS (SELECT text_id, true AS whole, size AS f, CAST(k % 14 AS DOUBLE) AS i FROM p WHERE k % 6 = 0
+      UNION ALL SELECT text_id, true, size, k % 11 + CASE WHEN k % 4 > 0 THEN CAST(k % 5 AS DOUBLE) / (k % 4) END FROM p WHERE k % 6 = 1
+      UNION ALL SELECT text_id, false, size, CAST(k % 12 AS DOUBLE) FROM p WHERE k % 6 = 2
+      UNION ALL SELECT text_id, false, CAST(k % 30 AS DOUBLE), 3.0 FROM p WHERE k % 6 = 2),
+z AS (SELECT text_id, whole, f + i / 12 AS feet FROM d WHERE i < 12 AND f + i / 12 BETWEEN 0.5 AND 500)
 """
-_FEET_PATTERN = text.FEET_INCHES.replace("'", "''")
 
 
-@query(_FEET_SQL.format(source="text", texts=t.TEXTS, pattern=_FEET_PATTERN) + "SELECT text_id, round(CASE WHEN ok AND i < 12 AND f + i / 12 BETWEEN 0.5 AND 500 THEN f + i / 12 END, 9) AS feet FROM z")
+@query(_STATED + "SELECT p.text_id, round(feet, 9) AS feet FROM p LEFT JOIN z ON z.text_id = p.text_id AND whole")
 def feet_inch_parse(spark, sf):
     return drawing(spark, sf, t.TEXTS).select("text_id", F.round(text.parse_feet(F.col("text")), 9).alias("feet"))
 
 
-@query(
-    "WITH texts AS ("
-    + t.TEXTS
-    + "), parts AS (SELECT text_id, unnest(CASE WHEN text_id % 6 = 2 THEN string_split_regex(text, '[xX×*]') ELSE [text] END) AS text FROM texts WHERE text_id % 6 < 3) "
-    + _FEET_SQL.format(source="text", texts="SELECT * FROM parts", pattern=_FEET_PATTERN).replace("WITH s", ", s", 1).lstrip()
-    + "SELECT text_id, count(*) AS n, round(sum(f + i / 12), 6) AS total_ft FROM z WHERE ok AND i < 12 AND f + i / 12 BETWEEN 0.5 AND 500 GROUP BY 1"
-)
+@query(_STATED + "SELECT text_id, count(*) AS n, round(sum(feet), 6) AS total_ft FROM z GROUP BY 1")
 def dimension_pairs(spark, sf):
-    d = drawing(spark, sf, t.TEXTS).filter("text_id % 6 < 3").select("text_id", F.explode(text.parse_feet_group(F.col("text"))).alias("feet"))
+    d = drawing(spark, sf, t.TEXTS).select("text_id", F.explode(text.parse_feet_group(F.col("text"))).alias("feet"))
     return d.groupBy("text_id").agg(F.count("*").alias("n"), F.round(F.sum("feet"), 6).alias("total_ft"))
 
 

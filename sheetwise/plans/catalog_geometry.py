@@ -47,7 +47,7 @@ def nodes_on_walls(spark, sf):
     return joints.nodes_on_walls(drawing(spark, sf, t.CROSS_WALLS), drawing(spark, sf, t.POINTS).withColumnRenamed("point_id", "node_id"), 0.25)
 
 
-_SPANS = f"SELECT sheet_id, layer, CAST(off * 4 AS BIGINT) AS host, row_number() OVER (ORDER BY sheet_id, layer, family, off, lo, hi) AS span_id, lo, hi FROM ({t.SEGMENTS}) WHERE sheet_id < 8"
+_SPANS = f"SELECT sheet_id, layer, CAST(off * 4 AS BIGINT) AS host, row_number() OVER (PARTITION BY sheet_id, layer, CAST(off * 4 AS BIGINT) ORDER BY family, off, lo, hi) AS span_id, lo, hi FROM ({t.SEGMENTS})"
 
 
 @query(f"""

@@ -39,7 +39,7 @@ FROM supplier"""
 HIERARCHY = """
 SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM nation
 UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer
-UNION ALL SELECT DISTINCT concat('o', o_orderkey), concat('c', o_custkey) FROM orders WHERE o_orderkey % 5 = 0"""
+UNION ALL SELECT DISTINCT concat('o', o_orderkey), concat('c', o_custkey) FROM orders"""
 #: Printed dimensions: source units measured, and the feet they state.
 DIMENSIONS = """
 SELECT p_partkey AS dim_id, p_partkey % 50 AS sheet_id, CAST(p_size + 4 AS DOUBLE) AS feet,
