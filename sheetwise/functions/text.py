@@ -29,6 +29,11 @@ def _number(text: Column) -> Column:
     return F.when(text != "", text.cast("double"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def _digits(text: Column, most: int) -> Column:
     """A run of 1 to ``most`` digits as a number, else null."""
     return F.when(text.rlike(f"^[0-9]{{1,{most}}}$"), text.cast("double"))
@@ -40,19 +45,26 @@ def parse_feet(text: Column) -> Column:
     The foot mark parts feet from inches. Inches are a whole number, a fraction or both; where both run together before the
     slash, the whole number takes up to two digits and leaves the fraction at least one.
     """
-    t = F.trim(F.rtrim(F.upper(F.trim(text)), F.lit("X")))
+    return _let(F.trim(F.rtrim(F.upper(F.trim(text)), F.lit("X"))), _feet_of)
+
+
+def _feet_of(t: Column) -> Column:
     after = F.when(F.instr(t, "'") > 0, F.trim(F.substr(t, F.instr(t, "'") + 1)))
-    after = F.trim(F.when(after.startswith("-"), F.substr(after, F.lit(2))).otherwise(after))
-    after = F.trim(F.when(after.endswith('"') | after.endswith("'"), F.substr(after, F.lit(1), F.length(after) - 1)).otherwise(after))
+    after = F.trim(F.regexp_replace(F.trim(F.regexp_replace(after, "^-", "")), "[\"']$", ""))
     spaced = F.trim(F.regexp_replace(F.regexp_replace(after, r"\s*/\s*", "/"), "([" + "".join(VULGAR) + "])", " $1"))
-    words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    inches = _let(F.filter(F.split(spaced, r"\s+"), lambda w: w != ""), _inches_of)
+    feet = _digits(F.trim(F.substring_index(t, "'", 1)), 3)
+    return _let(F.struct(feet.alias("feet"), inches.alias("inches")), lambda x: _let(x["feet"] + x["inches"] / 12, lambda whole: F.when((x["inches"] < 12) & whole.between(MIN_FEET, MAX_FEET), whole)))
+
+
+def _inches_of(words: Column) -> Column:
     n, last, first = F.size(words), F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(1))
     glyph = F.coalesce(*[F.when(last == c, F.lit(v)) for c, v in VULGAR.items()])
     over, under = F.substring_index(last, "/", 1), F.substring_index(last, "/", -1)
     together = F.least(F.length(over) - 1, F.lit(2))  # digits of the whole number in front of a fraction
     split_whole = F.when(together > 0, _digits(F.substr(over, F.lit(1), together), 2)).otherwise(0.0)
     quotient = lambda upper: F.when(_digits(under, 2) != 0, _digits(upper, 2) / _digits(under, 2))
-    inches = (
+    return (
         F.when(n == 0, 0.0)
         .when((n == 1) & glyph.isNotNull(), glyph)
         .when((n == 2) & glyph.isNotNull(), _digits(first, 2) + glyph)
@@ -60,14 +72,12 @@ def parse_feet(text: Column) -> Column:
         .when((n == 2) & last.contains("/"), _digits(first, 2) + quotient(over))
         .when(n == 1, _digits(first, 2))
     )
-    feet = _digits(F.trim(F.substring_index(t, "'", 1)), 3) + inches / 12
-    return F.when((inches < 12) & feet.between(MIN_FEET, MAX_FEET), feet)
 
 
 def parse_feet_group(text: Column) -> Column:
     """All dimensions that a text states: the whole if it is one, else those of its parts between multiplication signs."""
-    parts = F.filter(F.transform(F.split(text, "[xX×*]"), parse_feet), lambda x: x.isNotNull())
-    return F.when(parse_feet(text).isNotNull(), F.array(parse_feet(text))).otherwise(parts)
+    parts = F.filter(F.transform(F.split(text, "[xX×*]"), lambda x: parse_feet(x)), lambda x: x.isNotNull())
+    return _let(parse_feet(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(parts))
 
 
 def clean_label(text: Column) -> Column:
@@ -86,43 +96,37 @@ def clean_label(text: Column) -> Column:
             .otherwise(F.concat(F.lit("\\"), part))
         )
 
-    parts = F.split(text, r"\\")
-    joined = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), plain), ""))
+    joined = _let(F.split(text, r"\\"), lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), plain), "")))
     return F.trim(F.regexp_replace(F.translate(joined, "{}", ""), r"\s+", " "))
 
 
 def _measure(text: Column) -> Column:
     """Feet at the beginning of a text: a number, the foot mark, and perhaps inches behind a dash; else null."""
     feet = F.trim(F.substring_index(text, "'", 1))
-    after = F.ltrim(F.substr(text, F.instr(text, "'") + 1))
-    after = F.ltrim(F.when(after.startswith("-"), F.substr(after, F.lit(2))).otherwise(after))
+    after = F.ltrim(F.regexp_replace(F.ltrim(F.substr(text, F.instr(text, "'") + 1)), "^-", ""))
     inches = _number(F.regexp_extract(after, "^[0-9]+([.][0-9]+)?", 0))
     return F.when((F.instr(text, "'") > 0) & feet.rlike("^[0-9]+([.][0-9]+)?$"), feet.cast("double") + F.coalesce(inches, F.lit(0.0)) / 12)
 
 
 def _behind(text: Column, word: str, read) -> Column:
     """The first value that ``read`` finds behind ``word``."""
-    parts = F.split(text, f"\\b{word}")
-    found = F.filter(F.transform(F.slice(parts, 2, F.size(parts)), lambda x: read(x)), lambda x: x.isNotNull())
-    return F.try_element_at(found, F.lit(1))
-
-
-def _without(text: Column, marks: str) -> Column:
-    """``text`` without one leading character of ``marks`` and the spaces around it."""
-    t = F.ltrim(text)
-    return F.ltrim(F.when(F.substr(t, F.lit(1), F.lit(1)).isin(*marks), F.substr(t, F.lit(2))).otherwise(t))
+    parts = F.transform(F.split(text, f"\\b{word}"), lambda x, i: F.when(i > 0, read(x)))
+    return F.try_element_at(F.filter(parts, lambda x: x.isNotNull()), F.lit(1))
 
 
 def _level(text: Column) -> Column:
-    t = F.ltrim(F.when(text.startswith("."), F.substr(text, F.lit(2))).otherwise(text))
-    sign = F.when(t.startswith("-"), -1.0).when(t.startswith("+"), 1.0)
-    return sign * _measure(F.ltrim(F.substr(t, F.lit(2))))
+    return _let(
+        F.ltrim(F.regexp_replace(text, "^[.]", "")),
+        lambda t: F.when(t.startswith("-"), -1.0).when(t.startswith("+"), 1.0) * _let(F.ltrim(F.substr(t, F.lit(2))), _measure),
+    )
 
 
 def _clear(text: Column) -> Column:
-    t = F.ltrim(text)
-    t = F.when(t.startswith("HEIGHT"), F.substr(t, F.lit(7))).when(t.startswith("HT"), F.substr(t, F.lit(3)))
-    return _measure(_without(F.when(t.startswith("."), F.substr(t, F.lit(2))).otherwise(t), "-:="))
+    def rest(t: Column) -> Column:
+        return F.when(t.startswith("HEIGHT"), F.substr(t, F.lit(7))).when(t.startswith("HT"), F.substr(t, F.lit(3)))
+
+    bare = F.ltrim(F.regexp_replace(_let(F.ltrim(text), rest), "^[.]", ""))
+    return _let(F.ltrim(F.regexp_replace(bare, "^[-:=]", "")), _measure)
 
 
 def label_attributes(text: Column) -> dict[str, Column]:
