@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sheetwise.plans import catalog, catalog_geometry, catalog_texts  # noqa: F401
+from sheetwise.plans import catalog, catalog_geometry, catalog_layers, catalog_texts  # noqa: F401
 from sheetwise.sources.driver_tables import TABLES
 
 
