@@ -196,3 +196,9 @@ def reason_class(reason: Column) -> Column:
 def unit_hint(ratio: Column) -> Column:
     """What confusion of units a ratio suggests, or null."""
     return F.coalesce(*[F.when(F.abs(ratio - f) / f <= 0.01, F.lit(said)) for f, said in UNIT_RATIOS])
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility form of a text, by the ICU library that Spark brings for its collations."""
+    plain = ~text.rlike("[^\\x00-\\x7F]")
+    return F.when(plain | text.isNull(), text).otherwise(F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True)))
