@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetwise.operators import hosting
+from sheetwise.operators import hosting, validate
 from sheetwise.plans.catalog import query
 from sheetwise.sources import driver_tables as t
 from sheetwise.sources.driver_tables import drawing
@@ -115,3 +115,44 @@ _MODELS = "SELECT s_suppkey AS floor_id, CASE WHEN s_suppkey % 9 = 4 THEN CAST(9
   CASE WHEN count(m.floor_id) = 0 THEN 'nothing' WHEN count(DISTINCT wall_height_ft) > 1 THEN 'heights' ELSE 'built' END AS verdict FROM ({_FLOORS}) f LEFT JOIN ({_MODELS}) m ON m.floor_id = f.floor_id WHERE approved IS NULL OR approved GROUP BY 1""")
 def assembled_buildings(spark, sf):
     return hosting.assemble_buildings(drawing(spark, sf, _FLOORS), drawing(spark, sf, _MODELS)).withColumn("missing", F.array_join("missing", ","))
+
+
+_CHECKS = """SELECT p_partkey AS dim_id, CAST(p_size - 2 AS DOUBLE) AS expected_ft, CASE WHEN p_partkey % 9 > 0 THEN CAST(p_size - 2 AS DOUBLE) + CAST(p_partkey % 4 AS DOUBLE) / 8 END AS actual_ft,
+  CAST(p_partkey % 4 AS DOUBLE) * 1.5 + CASE WHEN p_partkey % 11 = 0 THEN 0.25 ELSE 0.0 END AS error_in, CASE WHEN p_partkey % 5 > 0 THEN 'verified' ELSE 'failed' END AS status, CASE p_partkey % 3 WHEN 0 THEN 'Wall faces' WHEN 1 THEN 'source ends' ELSE 'the MODEL' END AS basis FROM part"""
+
+
+@query(f"""WITH c AS (SELECT *, abs(actual_ft - expected_ft) * 12 AS e FROM ({_CHECKS})), i AS (SELECT dim_id, 'invalid_dimension' AS code FROM c WHERE actual_ft IS NOT NULL AND (expected_ft <= 0 OR actual_ft <= 0)
+UNION ALL SELECT dim_id, 'dimension_residual_inconsistent' FROM c WHERE abs(e - error_in) > 0.00001 UNION ALL SELECT dim_id, 'model_dimension_gate_failed' FROM c WHERE e > 2.00000001
+UNION ALL SELECT dim_id, 'dimension_unverified' FROM c WHERE actual_ft IS NULL OR status <> 'verified' OR basis = 'source ends')
+SELECT 'error' AS severity, concat('dimension-', dim_id) AS entity, code FROM i""")
+def dimension_issues(spark, sf):
+    return validate.dimension_issues(drawing(spark, sf, _CHECKS))
+
+
+_WHOLE = """SELECT s_suppkey AS sheet_id, CAST(s_suppkey % 6 AS DOUBLE) AS units_per_foot, CAST(s_suppkey % 5 AS DOUBLE) AS max_residual_in, s_suppkey % 3 = 0 AS scale_verified, CAST(s_suppkey % 4 AS DOUBLE) * 3 AS wall_height_ft,
+  CASE WHEN s_suppkey % 7 > 0 THEN 1.5 END AS elevation_ft, s_suppkey % 2 = 0 AS footprint_verified, s_suppkey % 8 AS n_walls, s_suppkey % 3 AS n_profiles, s_suppkey % 5 AS n_spaces, s_suppkey % 4 AS n_footprints, s_suppkey % 6 AS n_checks, s_suppkey % 2 AS n_height_notes FROM supplier"""
+
+
+@query(f"""WITH m AS ({_WHOLE}), i AS (SELECT sheet_id, 'error' AS severity, 'scale' AS part, 'invalid_scale' AS code FROM m WHERE units_per_foot <= 0 UNION ALL SELECT sheet_id, 'error', 'scale', 'scale_unverified' FROM m WHERE NOT scale_verified
+UNION ALL SELECT sheet_id, 'error', 'scale', 'scale_gate_failed' FROM m WHERE max_residual_in > 2 UNION ALL SELECT sheet_id, 'error', 'model', 'empty_wall_model' FROM m WHERE n_walls + n_profiles = 0
+UNION ALL SELECT sheet_id, 'error', 'model', 'invalid_wall_height' FROM m WHERE wall_height_ft <= 0 UNION ALL SELECT sheet_id, 'warn', 'model', 'wall_height_evidence_missing' FROM m WHERE n_height_notes = 0
+UNION ALL SELECT sheet_id, CASE WHEN n_footprints > 0 THEN 'warn' ELSE 'error' END, 'model', 'no_spaces_detected' FROM m WHERE n_walls > 0 AND n_spaces = 0
+UNION ALL SELECT sheet_id, 'error', 'model', 'footprint_unverified' FROM m WHERE n_footprints > 0 AND NOT footprint_verified UNION ALL SELECT sheet_id, 'error', 'model', 'missing_footprint' FROM m WHERE n_footprints = 0
+UNION ALL SELECT sheet_id, 'error', 'dimensions', 'model_dimensions_unverified' FROM m WHERE n_checks = 0 UNION ALL SELECT sheet_id, 'warn', 'storey', 'assumed_elevation' FROM m WHERE elevation_ft IS NULL
+UNION ALL SELECT sheet_id, 'warn', 'floors', 'assumed_slab_thickness' FROM m WHERE n_footprints > 0)
+SELECT severity, concat('sheet-', sheet_id, '/', part) AS entity, code FROM i""")
+def model_issues(spark, sf):
+    return validate.model_issues(drawing(spark, sf, _WHOLE))
+
+
+_JOINED = f"SELECT sheet_id, wall_id, x0, y0, x1, y1 FROM ({t.CROSS_WALLS}) UNION ALL SELECT sheet_id, wall_id + 10000000, x1, y1, x1, y1 + 3 FROM ({t.CROSS_WALLS})"
+_JOINTS = f"SELECT sheet_id, wall_id AS junction_id, x1 + CASE WHEN wall_id % 6 = 0 THEN 1.0 ELSE 0.0 END AS x, y1 AS y, wall_id AS a, CASE wall_id % 5 WHEN 0 THEN wall_id WHEN 1 THEN 99999999 WHEN 2 THEN NULL ELSE wall_id + 10000000 END AS b FROM ({t.CROSS_WALLS})"
+
+
+@query(f"""WITH w AS ({_JOINED}), j AS ({_JOINTS}), r AS (SELECT *, a AS id FROM j UNION ALL SELECT *, b FROM j WHERE b IS NOT NULL),
+m AS (SELECT junction_id, a, b, count(*) - count(w.wall_id) AS missing, count(*) FILTER (x < x0 - 0.001 OR x > w.x1 + 0.001 OR y < y0 - 0.001 OR y > w.y1 + 0.001) AS off FROM r LEFT JOIN w ON w.sheet_id = r.sheet_id AND w.wall_id = r.id GROUP BY 1, 2, 3),
+n AS (SELECT junction_id, CASE WHEN missing > 0 THEN 'invalid_junction_index' ELSE 'invalid_junction' END AS code, CASE WHEN missing > 0 THEN 1 WHEN b IS NULL OR a = b THEN 1 + off ELSE off END AS times FROM m)
+SELECT 'error' AS severity, concat('junction-', junction_id) AS entity, code FROM n, range(0, 4) g(k) WHERE k < times""")
+def junction_issues(spark, sf):
+    ids = F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", "b"))
+    return validate.junction_issues(drawing(spark, sf, _JOINTS).withColumn("wall_ids", ids), drawing(spark, sf, _JOINED))
