@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetwise.llm import bpe, class_lm, fingerprints, ngram_jaccard, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
+from sheetwise.llm import bpe, class_lm, fingerprints, importance, infilling, mixing, ngram_jaccard, packing, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
@@ -15,7 +15,13 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_importance": importance.op11_importance,
+    "op12_infilling": infilling.op12_infilling,
+    "op13_mixing": mixing.op13_mixing,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
+    "op12_infilling": infilling.ORACLE_SQL,
+    "op13_mixing": mixing.ORACLE_SQL,
 }
