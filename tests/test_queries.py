@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sheetwise.plans import catalog, catalog_geometry, catalog_hosting, catalog_layers, catalog_texts  # noqa: F401
+from sheetwise.plans import catalog, catalog_areas, catalog_geometry, catalog_healing, catalog_hosting, catalog_layers, catalog_openings, catalog_runs, catalog_texts  # noqa: F401
 from sheetwise.sources.driver_tables import TABLES
 
 
