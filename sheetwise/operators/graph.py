@@ -97,21 +97,20 @@ def prune_dangles(edges: DataFrame, shortest: float) -> DataFrame:
         now = materialize(now.join(loose, "id", "left_anti"), "pruned")
 
 
-def list_places(links: DataFrame) -> DataFrame:
+def list_places(links: DataFrame, cycles: bool = False) -> DataFrame:
     """id, head and place (from 0) of every item of linked lists (id, prev; prev is null at a head), by pointer doubling.
 
     In each round an item takes over the pointer of the one it points to, so rounds grow with the logarithm of the longest
     list. Items that reached their head leave the loop; those still in it point to different ones, so no key is hot. Each
-    round is written. An id twice, two items behind one, and a cycle raise ValueError."""
+    round is written. An id twice, or two items behind one, raise ValueError; so does a cycle, unless ``cycles`` allows them:
+    their items are left out then."""
     now = materialize(links.select("id", "prev", F.when(F.col("prev").isNull(), 0).otherwise(1).alias("hops")), "links")
-    total = now.count()
-    if now.select("id").distinct().count() < total or now.filter("prev is not null").groupBy("prev").count().filter("count > 1").limit(1).count():
+    seen = now.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count("prev").alias("behind"), F.count_distinct("prev").alias("prevs")).first()
+    if seen["n"] > seen["ids"] or seen["behind"] > seen["prevs"]:
         raise ValueError("an item of a list has two neighbours on one side")
     done = [now.filter("prev is null").select("id", F.col("id").alias("head"), F.col("hops").alias("place"))]
-    steps, left, reach = [now], now.filter("prev is not null"), 1
-    while not left.isEmpty():
-        if reach > total:
-            raise ValueError("a list has a cycle")
+    steps, left, n_left = [now], now.filter("prev is not null"), seen["behind"]
+    while n_left:
         ends = done[0]
         for d in done[1:]:
             ends = ends.unionByName(d)
@@ -120,8 +119,13 @@ def list_places(links: DataFrame) -> DataFrame:
         on = left.select(F.col("id").alias("prev"), F.col("prev").alias("to"), F.col("hops").alias("more"), F.lit(False).alias("over"))
         step = materialize(left.join(known.unionByName(on), "prev").select("id", "to", (F.col("hops") + F.col("more")).alias("hops"), "over"), "doubled")
         steps.append(step)
+        still = step.filter("not over").count()
+        if still == n_left:  # in a list some item arrives in every round
+            if cycles:
+                break
+            raise ValueError("a list has a cycle")
         done.append(step.filter("over").select("id", F.col("to").alias("head"), F.col("hops").alias("place")))
-        left, reach = step.filter("not over").select("id", F.col("to").alias("prev"), "hops"), reach * 2
+        left, n_left = step.filter("not over").select("id", F.col("to").alias("prev"), "hops"), still
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.geometry import convex_hull, minimum_rectangle
+from sheetwise.functions.geometry import computed, convex_hull, minimum_rectangle
 from sheetwise.operators.graph import components
 from sheetwise.runtime import discard, materialize
 
@@ -86,9 +86,9 @@ def measure_instances(parts: DataFrame) -> DataFrame:
     least area (width_ft, depth_ft, angle, x, y), and ``accepted`` if the kind allows it: its width in range, a column no
     sliver, a beam with a depth. A kind that isn't known, or an instance without points or width, isn't accepted. Parts
     are reduced to their hulls first, so only corners meet by instance."""
-    hulls = parts.withColumn("points", convex_hull(F.coalesce("points", F.array().cast("array<struct<x:double,y:double>>"))))
+    hulls = computed(parts.withColumnRenamed("points", "_points"), points=convex_hull(F.coalesce("_points", F.array().cast("array<struct<x:double,y:double>>"))))
     whole = hulls.groupBy("sheet_id", "symbol_id", "kind").agg(F.flatten(F.collect_list("points")).alias("points"))
-    d = whole.withColumn("hull", convex_hull(F.col("points"))).withColumn("r", minimum_rectangle(F.col("hull")))
+    d = computed(computed(whole, hull=convex_hull(F.col("points"))), r=minimum_rectangle(F.col("hull")))
     width, depth = F.col("r.width"), F.col("r.depth")
     fits = F.lit(False)
     for kind, (low, high) in WIDTHS_FT.items():

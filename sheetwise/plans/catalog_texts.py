@@ -16,7 +16,9 @@ SELECT c_custkey AS text_id, CAST(c_nationkey AS BIGINT) AS sheet_id, concat(CAS
          WHEN 5 THEN 'roof' WHEN 6 THEN 'Stilt parking plan' WHEN 7 THEN 'up to third floor level' ELSE 'basement plan' END, ' ', c_custkey % 4) AS text,
        CAST(c_custkey % 5 + 1 AS DOUBLE) AS height, CAST(c_custkey * 37 % 1000 AS DOUBLE) / 10 AS x, CAST(c_custkey * 91 % 1000 AS DOUBLE) / 10 AS y
 FROM customer"""
-_WORD_SQL = "CASE WHEN NOT regexp_matches(text, '" + text.FLOOR_NOTES + "') AND regexp_matches(text, '" + text.FLOOR_KINDS + "') THEN nullif(regexp_extract(lower(text), '\\b(" + "|".join(text.FLOOR_WORDS) + ")\\b', 1), '') END"
+_SAID = "concat(' ', array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' '), ' ')"
+_HAS = lambda words: "(" + " OR ".join(f"contains({_SAID}, ' {w} ')" for w in words) + ")"
+_WORD_SQL = f"CASE WHEN NOT {_HAS(text.FLOOR_NOTE_WORDS)} AND {_HAS(text.FLOOR_KIND_WORDS)} THEN nullif(regexp_extract(lower(text), '\\b(" + "|".join(text.FLOOR_WORDS) + ")\\b', 1), '') END"
 
 
 @query(f"SELECT text_id, {_WORD_SQL} AS word FROM ({_CAPTIONS})")
