@@ -37,7 +37,7 @@ def _entities(spark, sf):
 @query(f"""WITH o AS (SELECT k, sheet_id, coalesce({_NAME_KIND}, {_LAYER_KIND}) AS kind, greatest(w, d) AS width_ft, least(w, d) AS depth_ft FROM ({_SITES})),
 t AS (SELECT * FROM o WHERE k % 19 > 0 AND k % 13 > 0 AND {_FITS})
 SELECT sheet_id, k * 100 AS symbol_id, kind, width_ft, depth_ft, CAST(4 + CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_members FROM t
-UNION ALL SELECT sheet_id, k * 100 + 10, 'plumbing', round(sqrt(0.16::DOUBLE + 0.0225::DOUBLE), 9), 0, 2 FROM o WHERE k % 4 = 0 AND k NOT IN (SELECT k FROM t)""")
+UNION ALL SELECT sheet_id, k * 100 + 10, 'plumbing', round(sqrt(0.16::DOUBLE + 0.0225::DOUBLE), 6), 0, 2 FROM o WHERE k % 4 = 0 AND k NOT IN (SELECT k FROM t)""")
 def block_symbols(spark, sf):
     found, members = symbols.block_symbols(_entities(spark, sf), drawing(spark, sf, _ROLES))
     counts = members.groupBy("symbol_id").agg(F.count("*").alias("n_members"))
