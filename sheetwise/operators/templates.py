@@ -47,6 +47,33 @@ def _moved(p: Column) -> Column:
     return F.struct((F.col("tx") + dx * F.col("c") - dy * F.col("s")).alias("x"), (F.col("ty") + dx * F.col("s") + dy * F.col("c")).alias("y"))
 
 
+def settled(met: DataFrame, parts: DataFrame, turn: list[str]) -> DataFrame:
+    """The instances among poses: sheet_id, template_id, ``turn``, n_parts, sources and verdict (found or shared).
+
+    ``met`` has a row for each shape that a part (``place``, the anchor's being 1) of a template meets in a pose, which is a
+    template at an anchor (at_part, at_source) with the columns ``turn``, in the order that decides which pose counts."""
+    pose = ["sheet_id", "template_id", "at_part", *turn]
+    choice = F.struct(F.round("away", 9).alias("away"), F.col("o_source_id").alias("source_id"), F.col("o_part_id").alias("part_id"))
+    each = met.groupBy(*pose, "at_source", "n_seeds", "place").agg(F.array_sort(F.collect_list(choice)).alias("options"))  # shapes within the tolerance of one place
+    whole = each.groupBy(*pose, "at_source", "n_seeds").agg(F.count("*").alias("n_met"), F.array_sort(F.collect_list(F.struct("place", "options"))).alias("asked")).filter("n_met = n_seeds")
+
+    def take(taken: Column, asked: Column) -> Column:
+        left = F.filter(asked["options"], lambda o: ~F.exists(taken, lambda t: t["part_id"] == o["part_id"]))
+        return F.concat(taken, F.slice(left, 1, 1))  # in the order of the template's parts, the nearest shape that is left
+
+    first = F.col("asked")[0]["options"]
+    chosen = computed(whole, chosen=F.aggregate("asked", F.slice(first, 1, 0), take)).filter(F.size("chosen") == F.col("n_seeds"))
+    members = chosen.select(*pose, "at_source", F.explode("chosen").alias("m")).groupBy(*pose, "at_source", F.col("m.source_id").alias("source_id")).agg(F.count("*").alias("k"))
+    totals = parts.groupBy("sheet_id", "source_id").agg(F.count("*").alias("total"))
+    judged = members.join(totals, ["sheet_id", "source_id"]).groupBy(*pose, "at_source").agg(F.array_sort(F.collect_list("source_id")).alias("sources"), F.sum("k").alias("n_parts"), F.min(F.col("k") == F.col("total")).alias("complete"))
+    best = F.min_by(F.struct("template_id", *turn, "n_parts"), F.struct("template_id", "at_source", "at_part", *turn))
+    once = judged.filter("complete").groupBy("sheet_id", "sources").agg(best.alias("b")).select("sheet_id", "sources", "b.*")
+    claims = once.select("sheet_id", "sources", F.explode("sources").alias("source_id"))
+    doubled = claims.groupBy("sheet_id", "source_id").agg(F.count("*").alias("k")).filter("k > 1").select("sheet_id", "source_id")
+    shared = claims.join(doubled, ["sheet_id", "source_id"], "left_semi").select("sheet_id", "sources").distinct().withColumn("shared", F.lit(True))
+    return once.join(shared, ["sheet_id", "sources"], "left").withColumn("verdict", F.when(F.col("shared"), "shared").otherwise("found")).drop("shared")
+
+
 def match_templates(parts: DataFrame, seeds: DataFrame, tolerance_in: float = TOLERANCE_IN, angles: tuple[float, ...] = ANGLES, budget: int = BUDGET) -> DataFrame:
     """Instances of templates: sheet_id, template_id, kind, angle (degrees), sources (sorted), n_parts and verdict.
 
@@ -82,26 +109,8 @@ def match_templates(parts: DataFrame, seeds: DataFrame, tolerance_in: float = TO
     near = expected.join(placed, ["sheet_id", "category", "n", "cx", "cy"]).filter(F.array_contains("layers", F.col("layer")) & ((F.col("place") > 1) | (F.col("o_part_id") == F.col("at_part"))))
     near = near.filter((F.col("place") == 1) | (F.hypot(F.col("o_mx") - F.col("middle.x"), F.col("o_my") - F.col("middle.y")) <= reach))
     met = computed(near, away=hausdorff(F.col("line"), F.col("o_points"))).filter(F.col("away") <= tolerance)
-    choice = F.struct(F.round("away", 9).alias("away"), F.col("o_source_id").alias("source_id"), F.col("o_part_id").alias("part_id"))
-    each = met.groupBy(*pose, "at_source", "n_seeds", "place").agg(F.array_sort(F.collect_list(choice)).alias("options"))  # shapes within the tolerance of one place
-    whole = each.groupBy(*pose, "at_source", "n_seeds").agg(F.count("*").alias("n_met"), F.array_sort(F.collect_list(F.struct("place", "options"))).alias("asked")).filter("n_met = n_seeds")
-
-    def take(taken: Column, asked: Column) -> Column:
-        left = F.filter(asked["options"], lambda o: ~F.exists(taken, lambda t: t["part_id"] == o["part_id"]))
-        return F.concat(taken, F.slice(left, 1, 1))  # in the order of the template's parts, the nearest shape that is left
-
-    first = F.col("asked")[0]["options"]
-    chosen = computed(whole, chosen=F.aggregate("asked", F.slice(first, 1, 0), take)).filter(F.size("chosen") == F.col("n_seeds"))
-    members = chosen.select(*pose, "at_source", F.explode("chosen").alias("m")).groupBy(*pose, "at_source", F.col("m.source_id").alias("source_id")).agg(F.count("*").alias("k"))
-    totals = parts.groupBy("sheet_id", "source_id").agg(F.count("*").alias("total"))
-    judged = members.join(totals, ["sheet_id", "source_id"]).groupBy(*pose, "at_source").agg(F.array_sort(F.collect_list("source_id")).alias("sources"), F.sum("k").alias("n_parts"), F.min(F.col("k") == F.col("total")).alias("complete"))
-    best = F.min_by(F.struct("template_id", "angle", "n_parts"), F.struct("template_id", "at_source", "at_part", "angle"))
-    once = judged.filter("complete").groupBy("sheet_id", "sources").agg(best.alias("b")).select("sheet_id", "sources", "b.*")
-    claims = once.select("sheet_id", "sources", F.explode("sources").alias("source_id"))
-    doubled = claims.groupBy("sheet_id", "source_id").agg(F.count("*").alias("k")).filter("k > 1").select("sheet_id", "source_id")
-    shared = claims.join(doubled, ["sheet_id", "source_id"], "left_semi").select("sheet_id", "sources").distinct().withColumn("shared", F.lit(True))
-    found = once.join(shared, ["sheet_id", "sources"], "left").join(counts.select(*key, "kind"), key)
-    out = found.select(*key, "kind", "angle", "sources", "n_parts", F.when(F.col("shared"), "shared").otherwise("found").alias("verdict"))
+    found = settled(met, parts, ["angle"]).join(counts.select(*key, "kind"), key)
+    out = found.select(*key, "kind", "angle", "sources", "n_parts", "verdict")
     source = out.schema["sources"].dataType.simpleString()
     rest = lambda d, verdict: d.select(*key, "kind", F.lit(None).cast("double").alias("angle"), F.lit(None).cast(source).alias("sources"), F.lit(None).cast("long").alias("n_parts"), F.lit(verdict).alias("verdict"))
     return out.unionByName(rest(anchors.filter("over"), "over_budget")).unionByName(rest(counts.filter(~fit), "unfit"))
