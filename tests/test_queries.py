@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sheetwise.plans import catalog, catalog_arcs, catalog_areas, catalog_blocks, catalog_geometry, catalog_healing, catalog_hosting, catalog_layers, catalog_library, catalog_openings, catalog_runs, catalog_symbols, catalog_templates, catalog_texts  # noqa: F401
+from sheetwise.plans import catalog, catalog_arcs, catalog_areas, catalog_blocks, catalog_geometry, catalog_healing, catalog_hosting, catalog_layers, catalog_library, catalog_openings, catalog_profiles, catalog_runs, catalog_symbols, catalog_templates, catalog_texts  # noqa: F401
 from sheetwise.sources.driver_tables import TABLES
 
 
