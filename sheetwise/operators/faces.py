@@ -131,14 +131,18 @@ def cluster_ends(ends: DataFrame, snap: float) -> DataFrame:
 
 def joint_levels(edges: DataFrame, most: int = 100) -> DataFrame:
     """Longest-path level of each node of an acyclic (upper, lower) table; raises beyond ``most`` levels."""
-    from sheetwise.runtime import materialize
+    from sheetwise.runtime import discard, materialize
 
     nodes = edges.select(F.col("upper").alias("node")).unionByName(edges.select(F.col("lower").alias("node"))).distinct()
     level = nodes.withColumn("level", F.lit(0))
+    written = []
     for step in range(1, most + 2):
         reached = edges.join(level.filter(F.col("level") == step - 1).select(F.col("node").alias("upper")), "upper", "left_semi").select(F.col("lower").alias("node")).distinct()
         reached = materialize(reached, "levels")
         if not reached.limit(1).count():
+            discard(reached)
             return level
         level = materialize(level.join(reached.withColumn("_hit", F.lit(True)), "node", "left").select("node", F.when(F.col("_hit"), F.lit(step)).otherwise(F.col("level")).alias("level")), "levels")
+        discard(reached, *written)  # the new levels are written, nothing reads the old ones
+        written = [level]
     raise ValueError(f"more than {most} levels, or a cycle")

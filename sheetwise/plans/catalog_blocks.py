@@ -1,12 +1,13 @@
-"""Registered query about what walls touch. Sites have squares, stars, paths, and squares with a long wall between them; the
+"""Registered queries about what walls touch, and about levels. Sites have squares, stars, paths, and squares with a long wall between them; the
 SQL knows the loops of each and measures them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetwise.operators import blocks
+from sheetwise.operators import blocks, faces
 from sheetwise.plans.catalog import query
+from sheetwise.sources import driver_tables as t
 from sheetwise.sources.driver_tables import drawing
 
 _SITES = "SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS sheet_id, CAST(c_custkey % 40 * 60 AS DOUBLE) AS x, CAST(floor(c_custkey / 40) * 60 AS DOUBLE) AS y, CAST(c_custkey % 5 + 5 AS DOUBLE) AS s, CAST(c_custkey % 3 + 3 AS DOUBLE) / 8 AS t FROM customer"
@@ -33,3 +34,14 @@ FROM w LEFT JOIN j ON j.wall_id = w.wall_id LEFT JOIN c ON c.wall_id = w.wall_id
 def wall_signals(spark, sf):
     walls = drawing(spark, sf, _WALLS).withColumn("source_ids", F.array("src")).drop("src", "k")
     return blocks.wall_signals(walls, (0.5,), 0.01)
+
+
+#: A hierarchy with short cuts from regions to customers and from nations to orders, which must not shorten a level.
+_SHORTCUTS = f"""SELECT parent AS upper, child AS lower FROM ({t.HIERARCHY}) UNION ALL SELECT concat('r', n_regionkey), concat('c', c_custkey) FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT DISTINCT concat('n', c_nationkey), concat('o', o_orderkey) FROM orders JOIN customer ON c_custkey = o_custkey"""
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_SHORTCUTS}), walk(node, level) AS (SELECT upper, 0 FROM e WHERE upper NOT IN (SELECT lower FROM e) UNION SELECT e.lower, walk.level + 1 FROM walk JOIN e ON e.upper = walk.node)
+SELECT node, max(level) AS level FROM walk GROUP BY node""")
+def longest_levels(spark, sf):
+    return faces.joint_levels(drawing(spark, sf, _SHORTCUTS))

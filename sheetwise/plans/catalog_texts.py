@@ -107,8 +107,8 @@ def junction_run_order(spark, sf):
     return drawing(spark, sf, t.WALLS).select("wall_id", F.dense_rank().over(order).alias("rank"))
 
 
-_CACHE = "SELECT o_custkey AS key, max(o_orderkey) AS answer FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey"
-_FRESH = "SELECT o_custkey AS key, min(o_orderkey) AS answer FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey"
+_CACHE = "SELECT o_custkey AS key, max(o_orderkey) AS answer FROM orders WHERE o_orderkey % 7 <> 1 GROUP BY o_custkey"
+_FRESH = "SELECT o_custkey AS key, min(o_orderkey) AS answer FROM orders WHERE o_orderkey % 7 = 1 GROUP BY o_custkey"
 
 
 @query(f"SELECT coalesce(f.key, c.key) AS key, CASE WHEN f.key IS NOT NULL THEN f.answer ELSE c.answer END AS answer FROM ({_CACHE}) c FULL JOIN ({_FRESH}) f ON f.key = c.key")
