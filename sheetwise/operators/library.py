@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions.geometry import computed, convex_hull
-from sheetwise.operators.templates import BUDGET, hausdorff, measured_parts, settled
+from sheetwise.operators.templates import hausdorff, measured_parts, settled
 from sheetwise.runtime import materialize
 
 #: Tolerance as a share of the larger side, how far forms may differ, how many other parts are looked for
@@ -25,8 +25,9 @@ def form(points: Column, length: Column) -> Column:
     return F.when(hulls[0] > 0, length / hulls[0])
 
 
-def orientations(angles: Column, mirror: Column, spots: Column, budget: int) -> Column:
-    """The most trials within ``budget``: struct<trials, angles, mirrors>, null where one for each spot is too many.
+def orientations(angles: Column, mirror: Column, spots: Column, budget: int | None) -> Column:
+    """The most trials within ``budget``: struct<trials, angles, mirrors>, null where one for each spot is too many; all of
+    them without a budget.
 
     Fewer than all are the angles among ``AXES`` or a single one (0 where it is allowed), with mirroring or without."""
     single = F.when(F.array_contains(angles, 0.0), F.array(F.lit(0.0))).otherwise(F.slice(angles, 1, 1))
@@ -37,7 +38,8 @@ def orientations(angles: Column, mirror: Column, spots: Column, budget: int) ->
 
     plain = F.transform(sets, lambda s: combination(s, (False,)))
     both = F.when(mirror, F.transform(sets, lambda s: combination(s, (False, True)))).otherwise(F.slice(plain, 1, 0))
-    return F.array_max(F.filter(F.concat(plain, both), lambda c: c["trials"] * spots <= budget))
+    every = F.concat(plain, both)
+    return F.array_max(every if budget is None else F.filter(every, lambda c: c["trials"] * spots <= budget))
 
 
 def _levels(d: DataFrame, x: Column, y: Column, reach: Column, share: float) -> DataFrame:
@@ -55,7 +57,7 @@ def _placed(pool: DataFrame, asked: DataFrame, share: float) -> DataFrame:
     return pool.join(levels, ["sheet_id", "category", "n"]).withColumns({"cx": F.floor(F.col("o_mx") / cell).cast("long"), "cy": F.floor(F.col("o_my") / cell).cast("long")})
 
 
-def match_library(parts: DataFrame, templates: DataFrame, paths: DataFrame, budget: int = BUDGET) -> DataFrame:
+def match_library(parts: DataFrame, templates: DataFrame, paths: DataFrame, budget: int | None = None) -> DataFrame:
     """Instances of ``templates``: sheet_id, template_id, kind, scale (ft), angle (degrees), mirrored, sources (sorted), n, verdict.
 
     ``parts`` are as in ``templates.py``. ``templates`` has template_id, kind, size_min, size_max (ft), angles (array) and
@@ -67,7 +69,7 @@ def match_library(parts: DataFrame, templates: DataFrame, paths: DataFrame, budg
     fit; n is its number of parts. ``found`` instances share no source with another, others are ``shared``. A template has
     further rows for a sheet: ``out_of_range`` with n shapes whose size isn't in range, ``reduced`` with n orientations where
     all would take more than ``budget`` trials, and ``skipped`` with n possible anchors where one orientation would, with no
-    instances then. Rows with nulls in geometry or key have no shape and match nothing; comparisons aren't limited."""
+    instances then; without a budget, as it is unless one is given, all poses are tried. Rows with nulls in geometry or key have no shape and match nothing; comparisons aren't limited."""
     key, kinds = ["sheet_id", "template_id"], ["category", "n"]
     shapes = materialize(measured_parts(parts).select("sheet_id", "part_id", "source_id", *kinds, "length", "mx", "my", "points"), "shapes")  # read for counts, anchors and poses
     pool = shapes.select("sheet_id", *kinds, *[F.col(c).alias(f"o_{c}") for c in ("part_id", "source_id", "length", "mx", "my", "points")])

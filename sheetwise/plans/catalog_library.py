@@ -77,7 +77,7 @@ FROM ({_SITES}) i WHERE NOT lacks AND wide = 1 AND off < 0.02 AND NOT more AND s
   AND EXISTS (SELECT 1 FROM spot WHERE spot.sheet_id = i.sheet_id AND spot.template_id = i.design)
 UNION ALL SELECT sheet_id, CAST(template_id AS BIGINT), 'fixture', NULL, NULL, NULL, NULL, count(*), 'out_of_range' FROM spot WHERE NOT scale BETWEEN {_LOW} AND {_HIGH} GROUP BY ALL""")
 def library_instances(spark, sf):
-    return _matched(spark, sf, (0, 1, 2), _SITES, library.BUDGET)
+    return _matched(spark, sf, (0, 1, 2), _SITES, None)
 
 
 #: Within 40 trials on a sheet: all 16 orientations, else 10, 8, 5, 2 or 1 of them, else none.
