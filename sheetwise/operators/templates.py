@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from sheetwise.functions.geometry import computed, distance_to_segment
 from sheetwise.runtime import materialize
 
-#: Tolerance in inches, angles in degrees, the most parts of a template, and how many poses it may have.
-TOLERANCE_IN, ANGLES, MOST_PARTS, BUDGET = 0.1, (0, 90, 180, 270), 64, 5000
+#: Tolerance in inches, angles in degrees, and the most parts of a template.
+TOLERANCE_IN, ANGLES, MOST_PARTS = 0.1, (0, 90, 180, 270), 64
 CELL_FT = 0.5
 
 
@@ -74,13 +74,13 @@ def settled(met: DataFrame, parts: DataFrame, turn: list[str]) -> DataFrame:
     return once.join(shared, ["sheet_id", "sources"], "left").withColumn("verdict", F.when(F.col("shared"), "shared").otherwise("found")).drop("shared")
 
 
-def match_templates(parts: DataFrame, seeds: DataFrame, tolerance_in: float = TOLERANCE_IN, angles: tuple[float, ...] = ANGLES, budget: int = BUDGET) -> DataFrame:
+def match_templates(parts: DataFrame, seeds: DataFrame, tolerance_in: float = TOLERANCE_IN, angles: tuple[float, ...] = ANGLES, budget: int | None = None) -> DataFrame:
     """Instances of templates: sheet_id, template_id, kind, angle (degrees), sources (sorted), n_parts and verdict.
 
     ``seeds`` has a row for each part of a template: sheet_id, template_id, kind, part_id. Shapes on the layers of the
     template's own parts are looked through. An instance takes whole sources only: one with a part that no template part
     meets is refused. Each set of sources counts once, at the least angle of the first template. ``found`` instances share no
-    source with another; those that do are ``shared``. A template with more than ``budget`` poses isn't searched and has
+    source with another; those that do are ``shared``. A template with more than ``budget`` poses, if a budget is given, isn't searched and has
     one row ``over_budget``; one of more than ``MOST_PARTS`` parts, or with parts that aren't there, one row ``unfit``."""
     tolerance = tolerance_in / 12
     shapes = materialize(measured_parts(parts), "shapes")  # read for counts, anchors and poses
@@ -94,7 +94,7 @@ def match_templates(parts: DataFrame, seeds: DataFrame, tolerance_in: float = TO
     rivals = known.join(pool, ["sheet_id", "category", "n"]).filter(alike).groupBy(*key, "part_id").agg(F.count("*").alias("rivals"))
     order = Window.partitionBy(*key).orderBy("rivals", F.desc("length"), "source_id", "part_id")
     ranked = known.join(rivals, [*key, "part_id"]).withColumn("place", F.row_number().over(order))
-    anchors = ranked.filter("place = 1").withColumn("over", F.col("rivals") * len(set(angles)) > budget)
+    anchors = ranked.filter("place = 1").withColumn("over", F.lit(False) if budget is None else F.col("rivals") * len(set(angles)) > budget)
     at = anchors.filter("not over").join(pool, ["sheet_id", "category", "n"]).filter(alike)
     turns = F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(cos(radians(a))).alias("c"), F.lit(sin(radians(a))).alias("s")) for a in sorted({x % 360 for x in angles})])
     poses = at.select(*key, F.col("mx").alias("ax"), F.col("my").alias("ay"), F.col("o_part_id").alias("at_part"), F.col("o_source_id").alias("at_source"), F.col("o_mx").alias("tx"), F.col("o_my").alias("ty"), F.explode(turns).alias("t")).select("*", "t.*").drop("t")
