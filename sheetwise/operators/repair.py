@@ -7,20 +7,35 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.geometry import cross_param, distance_to_segment, param_on
 from sheetwise.operators.joints import INSIDE, _celled
+from sheetwise.operators.sweep import merge_islands
+from sheetwise.runtime import dealt
 
 ENDS = ("x0", "y0", "x1", "y1")
 
 
+def _lines(walls: DataFrame) -> DataFrame:
+    """The places that walls cover (sheet_id and ends), without ids: walls along an axis that overlap or touch on one line are
+    one, as a point's distance from them is that from the nearest; others are there once each."""
+    upright, level = F.col("x0") == F.col("x1"), F.col("y0") == F.col("y1")
+    along = lambda f: F.when(upright, f("y0", "y1")).otherwise(f("x0", "x1"))
+    axial = walls.filter(upright != level).select("sheet_id", upright.alias("upright"), F.when(upright, F.col("x0")).otherwise(F.col("y0")).alias("pos"), along(F.least).alias("lo"), along(F.greatest).alias("hi"))
+    at = lambda one, other: F.when(F.col("upright"), F.col(one)).otherwise(F.col(other))
+    merged = merge_islands(axial, ["sheet_id", "upright", "pos"], 0.0)
+    merged = merged.select("sheet_id", at("pos", "lo").alias("x0"), at("lo", "pos").alias("y0"), at("pos", "hi").alias("x1"), at("hi", "pos").alias("y1"))
+    return merged.unionByName(walls.filter(upright == level).select("sheet_id", *ENDS).distinct())
+
+
 def extend_ends(walls: DataFrame, extend_in: float = 6.0, cell: float = 10.0) -> DataFrame:
     """Walls (sheet_id, wall_id, x0, y0, x1, y1) with each end moved to the nearest point, ``extend_in`` inches away at
     most, where its line meets the line of a wall that reaches that near. Ties go to the lesser point. A wall that would
-    turn round or vanish stays. An end meets walls in its own cell only: such a wall is within twice the reach of it."""
+    turn round or vanish stays. An end meets walls in its own cell only: such a wall is within twice the reach of it. It
+    never meets its own, which is parallel to it."""
     reach = extend_in / 12 + 1e-9
     end = lambda k, o: F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("px"), F.col(f"y{k}").alias("py"), F.col(f"x{o}").alias("qx"), F.col(f"y{o}").alias("qy"))
     ends = walls.select("sheet_id", "wall_id", F.inline(F.array(end(0, 1), end(1, 0)))).withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
-    others = _celled(walls, cell, 2 * reach).withColumnRenamed("wall_id", "other_id")
+    others, where = _celled(_lines(walls), cell, 2 * reach), ["sheet_id", "cx", "cy"]
     p, q, wall = [F.col("px"), F.col("py")], [F.col("qx"), F.col("qy")], [F.col(c) for c in ENDS]
-    d = ends.join(others, ["sheet_id", "cx", "cy"]).filter("wall_id != other_id").withColumn("t", cross_param(*p, *q, *wall)).filter("t is not null")
+    d = dealt(ends, *where).join(dealt(others, *where), where).withColumn("t", cross_param(*p, *q, *wall)).filter("t is not null")
     d = d.withColumns({"hx": F.round(p[0] + (q[0] - p[0]) * F.col("t"), 9) + 0.0, "hy": F.round(p[1] + (q[1] - p[1]) * F.col("t"), 9) + 0.0})
     away = F.hypot(F.col("hx") - p[0], F.col("hy") - p[1])
     met = d.filter((away <= reach) & (F.hypot(F.col("hx") - q[0], F.col("hy") - q[1]) > 1e-9) & (distance_to_segment(F.col("hx"), F.col("hy"), *wall) <= reach))
@@ -40,7 +55,8 @@ def check_dimensions(dimensions: DataFrame, walls: DataFrame, tolerance_in: floa
     ends = dimensions.select("sheet_id", "dim_id", F.inline(F.array(*[F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("px"), F.col(f"y{k}").alias("py")) for k in (0, 1)])))
     ends = ends.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
     wall = [F.col(c) for c in ENDS]
-    d = ends.join(_celled(walls, cell, reach + INSIDE), ["sheet_id", "cx", "cy"])
+    where = ["sheet_id", "cx", "cy"]
+    d = dealt(ends, *where).join(dealt(_celled(_lines(walls), cell, reach + INSIDE), *where), where)
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), param_on(F.col("px"), F.col("py"), *wall)))
     d = d.withColumns({"fx": F.round(F.col("x0") + (F.col("x1") - F.col("x0")) * t, 9), "fy": F.round(F.col("y0") + (F.col("y1") - F.col("y0")) * t, 9)})
     d = d.withColumn("away", F.round(F.hypot(F.col("px") - F.col("fx"), F.col("py") - F.col("fy")), 9)).filter(F.col("away") <= reach + INSIDE)
