@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.functions.geometry import cross_param, distance_to_segment, param_on
+from sheetwise.functions.geometry import computed, cross_param, distance_to_segment, param_on
 from sheetwise.operators.joints import INSIDE, _celled
 from sheetwise.operators.sweep import merge_islands
 from sheetwise.runtime import dealt
 
 ENDS = ("x0", "y0", "x1", "y1")
+#: Fixed value: how much farther than its reach a wall is looked at, as points are rounded to nine digits.
+LOOSE_FT = 1e-6
 
 
 def _lines(walls: DataFrame) -> DataFrame:
@@ -32,14 +34,17 @@ def extend_ends(walls: DataFrame, extend_in: float = 6.0, cell: float = 10.0) ->
     never meets its own, which is parallel to it."""
     reach = extend_in / 12 + 1e-9
     end = lambda k, o: F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("px"), F.col(f"y{k}").alias("py"), F.col(f"x{o}").alias("qx"), F.col(f"y{o}").alias("qy"))
-    ends = walls.select("sheet_id", "wall_id", F.inline(F.array(end(0, 1), end(1, 0)))).withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
+    ends = walls.select("sheet_id", "wall_id", F.inline(F.array(end(0, 1), end(1, 0)))).withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell), "size": F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py"))})
     others, where = _celled(_lines(walls), cell, 2 * reach), ["sheet_id", "cx", "cy"]
     p, q, wall = [F.col("px"), F.col("py")], [F.col("qx"), F.col("qy")], [F.col(c) for c in ENDS]
-    d = dealt(ends, *where).join(dealt(others, *where), where).withColumn("t", cross_param(*p, *q, *wall)).filter("t is not null")
-    d = d.withColumns({"hx": F.round(p[0] + (q[0] - p[0]) * F.col("t"), 9) + 0.0, "hy": F.round(p[1] + (q[1] - p[1]) * F.col("t"), 9) + 0.0})
-    away = F.hypot(F.col("hx") - p[0], F.col("hy") - p[1])
-    met = d.filter((away <= reach) & (F.hypot(F.col("hx") - q[0], F.col("hy") - q[1]) > 1e-9) & (distance_to_segment(F.col("hx"), F.col("hy"), *wall) <= reach))
-    best = met.groupBy("sheet_id", "wall_id").agg(*[F.min(F.when(F.col("end") == k, F.struct(F.round(away, 9).alias("away"), "hx", "hy"))).alias(f"hit{k}") for k in (0, 1)])
+    # what is plainly too far goes by its box and the way to the hit, before anything is rounded
+    near = lambda c: F.col(f"p{c}").between(F.least(f"{c}0", f"{c}1") - 2 * reach - LOOSE_FT, F.greatest(f"{c}0", f"{c}1") + 2 * reach + LOOSE_FT)
+    d = dealt(ends, *where).join(dealt(others, *where), where).filter(near("x") & near("y")).withColumn("t", cross_param(*p, *q, *wall))
+    d = d.filter(F.abs("t") * F.col("size") <= reach + LOOSE_FT)
+    d = computed(d, hx=F.round(p[0] + (q[0] - p[0]) * F.col("t"), 9) + 0.0, hy=F.round(p[1] + (q[1] - p[1]) * F.col("t"), 9) + 0.0)
+    d = computed(d, away=F.hypot(F.col("hx") - p[0], F.col("hy") - p[1]), beside=distance_to_segment(F.col("hx"), F.col("hy"), *wall))
+    met = d.filter((F.col("away") <= reach) & (F.hypot(F.col("hx") - q[0], F.col("hy") - q[1]) > 1e-9) & (F.col("beside") <= reach)).withColumn("away", F.round("away", 9))
+    best = met.groupBy("sheet_id", "wall_id").agg(*[F.min(F.when(F.col("end") == k, F.struct("away", "hx", "hy"))).alias(f"hit{k}") for k in (0, 1)])
     d = walls.join(best, ["sheet_id", "wall_id"], "left")
     new = {f"{c}{k}": F.coalesce(F.col(f"hit{k}.h{c}"), F.col(f"{c}{k}")) for k in (0, 1) for c in "xy"}
     forward = param_on(new["x1"], new["y1"], *wall) > param_on(new["x0"], new["y0"], *wall)
