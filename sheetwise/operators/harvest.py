@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.operators.graph import components
-from sheetwise.runtime import materialize, ship_package
+from sheetwise.runtime import dealt, materialize, ship_package
 
 
 def families(parts: DataFrame, least: int = 8, named: tuple[str, ...] = ()) -> DataFrame:
@@ -52,53 +53,78 @@ def greedy_disjoint(claims: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, kept)
 
 
+def _assigned(weights: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """The pairs of a matching with most pairs and, among these, most weight: each reference in turn takes the cheapest
+    alternating path (Dijkstra over costs less potentials, which ends at the first free prediction) to a prediction, or
+    to having none. Costs are whole numbers, so that ties are ties; having none costs more than all that pairs could."""
+    unit = 1 << 52
+    gains = {k: round(w * unit) for k, w in weights.items()}
+    most = max(gains.values())
+    of: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), gain in sorted(gains.items()):
+        of.setdefault(a, []).append((b, most - gain))
+    none = 1 + len(of) * (most - min(gains.values()))
+    rows, cols, mate, back = dict.fromkeys(of, 0), {b: 0 for _, b in gains}, {}, {}
+    for first in of:
+        heap, far, came, seen = [], {}, {}, {}
+        a, at, end, stop = first, 0, None, None
+        reached = [(first, 0)]
+        while True:
+            if stop is None or at + none - rows[a] < stop:  # a may go without
+                stop, end = at + none - rows[a], (a, None)
+            for b, cost in of[a]:
+                d = at + cost - rows[a] - cols[b]
+                if d < stop and d < far.get(b, stop):
+                    far[b], came[b] = d, a
+                    heappush(heap, (d, b))
+            while heap and (heap[0][1] in seen or heap[0][0] > far[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= stop:
+                break
+            at, b = heappop(heap)
+            if b not in mate:
+                stop, end = at, (came[b], b)
+                break
+            seen[b], a = at, mate[b]
+            reached.append((a, at))
+        for a, d in reached:
+            rows[a] += stop - d
+        for b, d in seen.items():
+            cols[b] -= stop - d
+        a, b = end
+        while True:  # along the path each reference takes its new prediction and gives its old one to the one before
+            before = back.get(a)
+            if b is None:
+                back.pop(a, None)
+            else:
+                mate[b], back[a] = a, b
+            if a == first:
+                break
+            a, b = came[before], before
+    return sorted((a, b) for b, a in mate.items())
+
+
 def match(pairs: DataFrame) -> DataFrame:
     """A matching of (sheet_id, ref_id, pred_id, weight) with most pairs and, among these, most weight. Components are
-    solved apart; inside one, augmenting paths of the best gain are added until none is left."""
+    solved apart: one around a single reference or prediction takes its best pair, others are solved whole, one in a task."""
     ship_package(pairs.sparkSession)
+    pairs = materialize(pairs.select("sheet_id", "ref_id", "pred_id", F.col("weight").cast("double").alias("weight")), "pairs")
     # references and predictions get ids of different parity, so that the two sides never meet
     edges = pairs.select((F.col("ref_id") * 2).alias("a"), (F.col("pred_id") * 2 + 1).alias("b"))
     label = components(edges).withColumnsRenamed({"component": "part"})
-    each = pairs.withColumn("id", F.col("ref_id") * 2).join(label, "id")
+    each = materialize(pairs.withColumn("id", F.col("ref_id") * 2).join(label, "id").drop("id"), "parts")
+    best = F.max_by(F.struct("sheet_id", "ref_id", "pred_id", "weight"), F.struct("weight", -F.col("ref_id"), -F.col("pred_id")))
+    star = (F.min("ref_id") == F.max("ref_id")) | (F.min("pred_id") == F.max("pred_id"))
+    stars = each.groupBy("part").agg(star.alias("star"), best.alias("p")).filter("star")
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        weight = {(r.ref_id, r.pred_id): r.weight for r in group.itertuples()}
-        of: dict = {}
-        for a, b in weight:
-            of.setdefault(a, []).append(b)
-        mate: dict = {}
-        while True:
-            # Bellman-Ford over alternating paths from free references; matched pairs are walked back
-            best = {("r", a): (0.0, None) for a in of if ("r", a) not in mate}
-            for _ in range(2 * len(weight) + 2):
-                changed = False
-                for a, bs in of.items():
-                    if ("r", a) not in best:
-                        continue
-                    for b in bs:
-                        if mate.get(("r", a)) != b and best.get(("p", b), (-1e18,))[0] < best["r", a][0] + weight[a, b] - 1e-12:
-                            best["p", b] = (best["r", a][0] + weight[a, b], ("r", a))
-                            changed = True
-                            back = mate.get(("p", b))
-                            if back is not None and best.get(("r", back), (-1e18,))[0] < best["p", b][0] - weight[back, b] - 1e-12:
-                                best["r", back] = (best["p", b][0] - weight[back, b], ("p", b))
-                if not changed:
-                    break
-            free = [(v[0], b) for (side, b), v in best.items() if side == "p" and ("p", b) not in mate]
-            if not free:
-                break
-            _, b = max(free, key=lambda x: (x[0], -x[1]))
-            while True:
-                a = best["p", b][1][1]
-                before = mate.get(("r", a))
-                mate["r", a], mate["p", b] = b, a
-                if before is None:
-                    break
-                b = before
-        rows = [(group.sheet_id.iloc[0], k[1], b, weight[k[1], b]) for k, b in mate.items() if k[0] == "r"]
-        return pd.DataFrame(rows, columns=["sheet_id", "ref_id", "pred_id", "weight"])
-
-    return each.groupBy("part").applyInPandas(solve, "sheet_id long, ref_id long, pred_id long, weight double")
+        weights = dict(zip(zip(group.ref_id.tolist(), group.pred_id.tolist()), group.weight.tolist(), strict=True))
+        sheet = dict(zip(group.ref_id.tolist(), group.sheet_id.tolist(), strict=True))
+        return pd.DataFrame([(sheet[a], a, b, weights[a, b]) for a, b in _assigned(weights)], columns=["sheet_id", "ref_id", "pred_id", "weight"])
+
+    # dealt: adaptive planning sees few bytes, not the work in them
+    solved = dealt(each, "part").join(stars.select("part"), "part", "left_anti").groupBy("part").applyInPandas(solve, "sheet_id long, ref_id long, pred_id long, weight double")
+    return solved.unionByName(stars.select("p.*"))
 
 
 def number_by_kind(elements: DataFrame, letters: dict[str, str], order: list[str]) -> DataFrame:

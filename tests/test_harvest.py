@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -25,6 +26,35 @@ def test_matching_is_largest_then_heaviest(spark):
             assert len(got) > best[0]
 
 
+def test_matching_of_a_large_component_ends():
+    rng = random.Random(9)
+    weights = {(rng.randrange(5000), rng.randrange(5000)): rng.choice((0.2, 0.25, 0.5)) for _ in range(9000)}
+    began = time.monotonic()
+    got = harvest._assigned(weights)
+    assert time.monotonic() - began < 30
+    of: dict = {}
+    for a, b in weights:
+        of.setdefault(a, []).append(b)
+    mate: dict = {}
+    for first in of:  # augmenting paths, breadth first
+        came, todo, free = {}, [first], None
+        for a in todo:
+            for b in of[a]:
+                if b not in came:
+                    came[b] = a
+                    if b not in mate:
+                        free = b
+                        break
+                    todo.append(mate[b])
+            if free is not None:
+                break
+        while free is not None:
+            a = came[free]
+            before = next((b for b, x in mate.items() if x == a), None)
+            mate[free], free = a, before
+    assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == len(mate)
+
+
 def test_greedy_claims(spark):
     rng = random.Random(5)
     rows = list({(k % 2, k, rng.randrange(30)) for k in range(40) for _ in range(2)})
