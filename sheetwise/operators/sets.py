@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unique_claims(claims: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over ``parts`` partitions, which stay as stated; without a number Spark chooses as it sees bytes."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
+def unique_claims(claims: DataFrame, parts: int | None = None) -> DataFrame:
     """Elements whose every (sheet_id, source_id) nobody else claims."""
-    owners = claims.groupBy("sheet_id", "source_id").agg(F.count_distinct("element_id").alias("k"))
-    judged = claims.join(owners, ["sheet_id", "source_id"]).groupBy("sheet_id", "element_id").agg(F.bool_and(F.col("k") == 1).alias("alone"), F.count_distinct("source_id").alias("n_ids"))
+    claims = _dealt(claims.select("sheet_id", "element_id", "source_id").filter("sheet_id is not null and source_id is not null"), parts, "sheet_id", "source_id")
+    owners = claims.groupBy("sheet_id", "source_id").agg(F.coalesce(F.min("element_id") == F.max("element_id"), F.lit(False)).alias("one"))
+    judged = _dealt(claims.join(owners, ["sheet_id", "source_id"]), parts, "sheet_id", "element_id")
+    judged = judged.groupBy("sheet_id", "element_id").agg(F.bool_and("one").alias("alone"), F.count_distinct("source_id").alias("n_ids"))
     return judged.filter("alone").drop("alone")
 
 
-def override_union(first: DataFrame, later: DataFrame) -> DataFrame:
+def override_union(first: DataFrame, later: DataFrame, parts: int | None = None) -> DataFrame:
     """The claims of ``later``, and those elements of ``first`` that share no id with them."""
-    taken = first.join(later.select("sheet_id", "source_id").distinct(), ["sheet_id", "source_id"], "left_semi").select("sheet_id", "element_id").distinct()
-    return first.join(taken, ["sheet_id", "element_id"], "left_anti").unionByName(later)
+    keys, ids = ("sheet_id", "element_id"), ("sheet_id", "source_id")
+    taken = _dealt(first.select(*keys, "source_id"), parts, *ids).join(_dealt(later.select(*ids), parts, *ids), [*ids], "left_semi").select(*keys)
+    return _dealt(first, parts, *keys).join(_dealt(taken, parts, *keys), [*keys], "left_anti").unionByName(later)
 
 
-def keyed_override(rows: DataFrame, keys: list[str], priority: Column) -> DataFrame:
+def keyed_override(rows: DataFrame, keys: list[str], priority: Column, parts: int | None = None) -> DataFrame:
     """One row for each key: the one of the highest priority."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(priority))).filter("_k = 1").drop("_k")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(priority))
+    return _dealt(rows, parts, *keys).withColumn("_k", first).filter("_k = 1").drop("_k")
 
 
 def set_overlap(elements: DataFrame, judged: DataFrame, share: float = 0.5) -> DataFrame:

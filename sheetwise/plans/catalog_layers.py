@@ -69,7 +69,8 @@ _ENTITIES = "SELECT p_partkey % 20 AS sheet_id, p_partkey AS source_id, p_type A
 @query(f"SELECT c.sheet_id, element_id, c.source_id, e.kind AS entity_kind, block FROM ({t.CLAIMS}) c LEFT JOIN ({_ENTITIES}) e ON e.sheet_id = c.sheet_id AND e.source_id = c.source_id")
 def entity_join(spark, sf):
     known = drawing(spark, sf, _ENTITIES).withColumnRenamed("kind", "entity_kind")
-    return layers.attach_entities(drawing(spark, sf, t.CLAIMS).select("sheet_id", "element_id", "source_id"), known)
+    claims = drawing(spark, sf, t.CLAIMS).select("sheet_id", "element_id", "source_id")
+    return layers.attach_entities(claims.repartition(t.parts(spark, sf), "sheet_id", "source_id"), known)
 
 
 _TURNED = f"SELECT sheet_id, wall_id, CASE WHEN wall_id % 3 = 0 THEN x1 ELSE x0 END AS x0, CASE WHEN wall_id % 3 = 0 THEN y1 ELSE y0 END AS y0, CASE WHEN wall_id % 3 = 0 THEN x0 ELSE x1 END AS x1, CASE WHEN wall_id % 3 = 0 THEN y0 ELSE y1 END AS y1, CAST(wall_id % 4 AS DOUBLE) / 8 AS thickness_ft, concat('L', wall_id % 5) AS layer FROM ({t.CROSS_WALLS})"
