@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.geometry import computed, convex_hull, minimum_rectangle
+from sheetwise.functions.geometry import computed, convex_hull
+from sheetwise.functions.rectangles import FEW, FIELDS, measured_batches
 from sheetwise.operators.graph import components
-from sheetwise.runtime import discard, materialize
+from sheetwise.runtime import dealt, discard, materialize, ship_package
 
 #: Walls below the first length are residue, walls below the second are none at all.
 RESIDUE_FT, NO_LENGTH_FT = 1e-4, 1e-9
@@ -84,15 +85,25 @@ def contract_residue(walls: DataFrame) -> tuple[DataFrame, DataFrame]:
 def measure_instances(parts: DataFrame) -> DataFrame:
     """Sizes of recognised instances from their parts (sheet_id, symbol_id, kind, points: array of x, y): the rectangle of
     least area (width_ft, depth_ft, angle, x, y), and ``accepted`` if the kind allows it: its width in range, a column no
-    sliver, a beam with a depth. A kind that isn't known, or an instance without points or width, isn't accepted. Parts
-    are reduced to their hulls first, so only corners meet by instance."""
-    hulls = computed(parts.withColumnRenamed("points", "_points"), points=convex_hull(F.coalesce("_points", F.array().cast("array<struct<x:double,y:double>>"))))
-    whole = hulls.groupBy("sheet_id", "symbol_id", "kind").agg(F.flatten(F.collect_list("points")).alias("points"))
-    d = computed(computed(whole, hull=convex_hull(F.col("points"))), r=minimum_rectangle(F.col("hull")))
-    width, depth = F.col("r.width"), F.col("r.depth")
+    sliver, a beam with a depth. A kind that isn't known, or an instance without points or width, isn't accepted. Parts of
+    many points are reduced to their hulls first, so only corners meet by instance; rectangles are found for whole batches."""
+    few = F.when(F.size("_points") > FEW, convex_hull(F.col("_points"))).otherwise(F.col("_points"))
+    hulls = computed(parts.withColumnRenamed("points", "_points"), points=F.coalesce(few, F.array().cast("array<struct<x:double,y:double>>")))
+    keys = ["sheet_id", "symbol_id", "kind"]
+    whole = dealt(hulls, *keys).groupBy(*keys).agg(F.flatten(F.collect_list("points")).alias("points"))
+    known = F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull())  # of an instance without such points the first stays
+    of = lambda c: F.transform(known, lambda p: p[c]).alias(f"{c}s")
+    ship_package(parts.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in whole.schema}
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], "first struct<x:double,y:double>", *[f"{c} double" for c in FIELDS]])
+    d = whole.select(*keys, F.array_min("points").alias("first"), of("x"), of("y")).mapInArrow(measured_batches, schema)
+    none = lambda c: F.coalesce(c, F.when(F.col("first").isNotNull(), 0.0))
+    place = lambda c: F.coalesce(c, F.round(F.col(f"first.{c}"), 6) + 0.0).alias(c)
+    d = d.select(*keys, *[none(c).alias(c) for c in FIELDS[:3]], *[place(c) for c in FIELDS[3:]])
+    width, depth = F.col("width"), F.col("depth")
     fits = F.lit(False)
     for kind, (low, high) in WIDTHS_FT.items():
         fits = F.when(F.col("kind") == kind, width.between(low, high)).otherwise(fits)
     shaped = F.when(F.col("kind") == "column", (depth >= COLUMN_DEPTH_FT) & (width <= COLUMN_RATIO * F.greatest(depth, F.lit(1e-6)))).when(F.col("kind") == "beam", depth > 0).otherwise(True)
     accepted = F.coalesce(fits & shaped & (width > 0), F.lit(False))
-    return d.select("sheet_id", "symbol_id", "kind", width.alias("width_ft"), depth.alias("depth_ft"), F.col("r.angle").alias("angle"), F.col("r.x").alias("x"), F.col("r.y").alias("y"), accepted.alias("accepted"))
+    return d.select("sheet_id", "symbol_id", "kind", width.alias("width_ft"), depth.alias("depth_ft"), "angle", "x", "y", accepted.alias("accepted"))
