@@ -11,40 +11,46 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.geometry import clip_convex
 from sheetwise.operators.graph import list_places
+from sheetwise.runtime import discard, materialize
 
 #: Sine of directions that count as one, and walls that take no part in a joint.
 PARALLEL, APART = 1e-7, "railing"
 #: Fixed value: beyond so many thicknesses a joint reaches too far to be made; half a thickness over the sine is the reach.
 MOST_REACH = 20.0
-#: Directions of one line differ by less than this turn, in radians, of which ends are dealt by.
-TURN = 1e-5
+#: Walls are dealt by their turn in steps of so many radians; those of one line sway less than ``SWAY``.
+TURN, SWAY = 1e-5, 2e-7
 
 
-def _ends(walls: DataFrame) -> DataFrame:
-    """Each wall's two ends: its place, the unit direction away from it, and whether the wall begins there."""
+def _walls(walls: DataFrame) -> DataFrame:
+    """Each wall from its lesser end (sx, sy) to the greater (ex, ey), with its direction, turn and what makes walls alike."""
     points = {c: F.round(c, 9) + 0.0 for c in ("x0", "y0", "x1", "y1")}
     d = walls.withColumns(points)
     swap = F.struct("x1", "y1") < F.struct("x0", "y0")
-    d = d.withColumns({f"_{c}": F.when(swap, F.col(o)).otherwise(F.col(c)) for c, o in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))})
-    size = F.hypot(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    d = d.withColumn("length_ft", size).filter(F.col("length_ft") > 1e-9).withColumns({"ux": (F.col("_x1") - F.col("_x0")) / F.col("length_ft"), "uy": (F.col("_y1") - F.col("_y0")) / F.col("length_ft")})
+    d = d.withColumns({c: F.when(swap, F.col(o)).otherwise(F.col(k)) for c, k, o in (("sx", "x0", "x1"), ("sy", "y0", "y1"), ("ex", "x1", "x0"), ("ey", "y1", "y0"))})
+    size = F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))
+    d = d.withColumn("length_ft", size).filter(F.col("length_ft") > 1e-9).withColumns({"ux": (F.col("ex") - F.col("sx")) / F.col("length_ft"), "uy": (F.col("ey") - F.col("sy")) / F.col("length_ft")})
     kind = ["layer", F.round("thickness_ft", 9).alias("thickness_ft"), F.coalesce(F.col("height_ft"), F.lit(-1.0)).alias("height"), F.coalesce("wall_class", F.lit("")).alias("wall_class")]
-    turn = F.floor(F.pmod(F.atan2("uy", "ux"), F.lit(3.141592653589793)) / TURN).cast("long").alias("turn")
-    end = lambda starts, x, y, sign: F.struct(F.lit(starts).alias("starts"), F.col(x).alias("x"), F.col(y).alias("y"), (F.col("ux") * sign + 0.0).alias("dx"), (F.col("uy") * sign + 0.0).alias("dy"))
-    both = F.explode(F.array(end(True, "_x0", "_y0", 1), end(False, "_x1", "_y1", -1))).alias("e")
-    return d.select("sheet_id", "wall_id", "length_ft", *kind, turn, F.coalesce(F.col("wall_class") != APART, F.lit(True)).alias("usable"), both).select("*", "e.*").drop("e")
+    turn = lambda sway: F.floor(F.pmod(F.atan2("uy", "ux") + sway, F.lit(3.141592653589793)) / TURN).cast("long")
+    usable = F.coalesce(F.col("wall_class") != APART, F.lit(True)).alias("usable")
+    near = F.array_distinct(F.array(turn(-SWAY), turn(SWAY))).alias("near")  # a turn on the edge of two
+    return d.select("sheet_id", "wall_id", "length_ft", *kind, turn(0.0).alias("turn"), near, usable, "sx", "sy", "ex", "ey", "ux", "uy")
+
+
+def _ends(walls: DataFrame) -> DataFrame:
+    """Each wall's two ends: its place and the unit direction away from it."""
+    end = lambda x, y, sign: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), (F.col("ux") * sign + 0.0).alias("dx"), (F.col("uy") * sign + 0.0).alias("dy"))
+    both = F.explode(F.array(end("sx", "sy", 1), end("ex", "ey", -1))).alias("e")
+    return walls.select("sheet_id", "wall_id", "usable", both).select("sheet_id", "wall_id", "usable", "e.*")
 
 
-def _partners(ends: DataFrame) -> DataFrame:
+def _partners(walls: DataFrame) -> DataFrame:
     """Pairs of usable walls that go straight on through a node: sheet_id, x, y, before (which ends there) and after."""
-    turns = int(3.141592653589793 / TURN) + 1
-    side = lambda name, starts: ends.filter(F.col("usable") & (F.col("starts") == starts)).withColumnsRenamed({"wall_id": name, "dx": f"{name}_dx", "dy": f"{name}_dy"})
-    near = F.explode(F.array(*[F.pmod(F.col("turn") + k, F.lit(turns)) for k in (-1, 0, 1)]))  # a turn on the edge of two
     keys = ["sheet_id", "x", "y", "layer", "thickness_ft", "height", "wall_class", "turn"]
-    a = side("before", False).select(*keys, "before", "before_dx", "before_dy")
-    b = side("after", True).withColumn("turn", near).select(*keys, "after", "after_dx", "after_dy")
+    able = walls.filter("usable")
+    a = able.withColumnsRenamed({"ex": "x", "ey": "y"}).select(*keys, F.col("wall_id").alias("before"), (-F.col("ux") + 0.0).alias("before_dx"), (-F.col("uy") + 0.0).alias("before_dy"))
+    b = able.withColumnsRenamed({"sx": "x", "sy": "y"}).withColumn("turn", F.explode("near")).select(*keys, F.col("wall_id").alias("after"), (F.col("ux") + 0.0).alias("after_dx"), (F.col("uy") + 0.0).alias("after_dy"))
     straight = (F.abs(F.col("before_dx") * F.col("after_dy") - F.col("before_dy") * F.col("after_dx")) < PARALLEL) & (F.col("before_dx") * F.col("after_dx") + F.col("before_dy") * F.col("after_dy") < 0)
-    return a.join(b, keys).filter(straight).select("sheet_id", "x", "y", "before", "after").distinct()
+    return a.join(b, keys).filter(straight).select("sheet_id", "x", "y", "before", "after")  # one turn of a wall is that of the other
 
 
 def _joints(ends: DataFrame, partners: DataFrame) -> DataFrame:
@@ -62,18 +68,18 @@ def _joints(ends: DataFrame, partners: DataFrame) -> DataFrame:
     return d.select("sheet_id", "x", "y", kind.alias("kind"))
 
 
-def _ordered(ends: DataFrame, pairs: DataFrame) -> DataFrame:
-    """wall_id, head and place of every wall in the list that ``pairs`` (before, after) link."""
-    ids = ends.filter("starts").select(F.col("wall_id").alias("id"))
-    return list_places(ids.join(pairs.select(F.col("after").alias("id"), F.col("before").alias("prev")), "id", "left")).withColumnRenamed("id", "wall_id")
-
-
-def _line_ranks(ends: DataFrame, lines: DataFrame) -> DataFrame:
-    """wall_id and the rank of its line as a struct: thicker first, then longer, then by its ends."""
-    low, high = F.min(F.when(F.col("starts"), F.struct("x", "y"))), F.max(F.when(~F.col("starts"), F.struct("x", "y")))
-    each = ends.join(lines.select("wall_id", "head"), "wall_id")
-    sums = each.groupBy("head").agg((-F.max("thickness_ft")).alias("t"), (-F.round(F.sum(F.when(F.col("starts"), F.col("length_ft"))), 6)).alias("l"), low.alias("a"), high.alias("b"))
-    return lines.select("wall_id", "head").join(sums.select("head", F.struct("t", "l", "a", "b").alias("rank")), "head").select("wall_id", "rank")
+def _lines(walls: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Walls with the head of the list that ``pairs`` (before, after) link, their place in it and its rank: thicker first, then
+    longer, then by its ends. Walls in no pair are lines of their own and take no part in the search for heads."""
+    behind = pairs.select(F.col("after").alias("id"), F.col("before").alias("prev"))
+    first = pairs.select(F.col("before").alias("id")).join(behind.select("id"), "id", "left_anti")
+    places = list_places(behind.unionByName(first, allowMissingColumns=True)).withColumnRenamed("id", "wall_id")
+    d = walls.select("sheet_id", "wall_id", "length_ft", "thickness_ft", "sx", "sy", "ex", "ey").join(places, "wall_id", "left")
+    d = d.withColumns({"head": F.coalesce("head", "wall_id"), "place": F.coalesce("place", F.lit(0))})
+    line = Window.partitionBy("head")
+    low, high = F.min(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"))), F.max(F.struct(F.col("ex").alias("x"), F.col("ey").alias("y")))
+    rank = {"t": -F.max("thickness_ft").over(line), "l": -F.round(F.sum("length_ft").over(line), 6), "a": low.over(line), "b": high.over(line)}
+    return d.withColumn("rank", F.struct(*[v.alias(k) for k, v in rank.items()]))
 
 
 def build_runs(walls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,33 +91,42 @@ def build_runs(walls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     and whether the joint can be made. At an X the thicker, else longer line goes through; at an L it owns the corner.
     Where an end has two walls that could go on, the drawing is at fault and ValueError is raised.
     """
+    walls = materialize(_walls(walls), "run-walls")
     ends = _ends(walls)
-    partners = _partners(ends)
+    partners = materialize(_partners(walls), "partners")
     if not partners.groupBy("sheet_id", "x", "y", "after").count().unionByName(partners.groupBy("sheet_id", "x", "y", F.col("before").alias("after")).count()).filter("count > 1").isEmpty():
         raise ValueError("a wall goes on into two others through one end")
-    joints = _joints(ends, partners)
+    joints = materialize(_joints(ends, partners), "joints")
     node = ["sheet_id", "x", "y"]
-    ranks = _line_ranks(ends, _ordered(ends, partners))
-    through = partners.join(joints.filter(F.col("kind").isin("chain", "T", "X")), node).join(ranks.withColumnRenamed("wall_id", "before"), "before")
-    through = through.groupBy(*node, "kind").agg(F.min_by(F.struct("before", "after"), "rank").alias("p")).select(*node, "kind", "p.before", "p.after")
-    placed = _ordered(ends, through)
-    run_ids = placed.groupBy("head").agg(F.min("wall_id").alias("run_id"), F.count("*").alias("n_walls"))
-    both = ends.join(placed, "wall_id").groupBy("head").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"), F.max("thickness_ft").alias("thickness_ft"))
-    run = run_ids.join(both, "head").select("head", "run_id", "n_walls", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "thickness_ft")
-    members = ends.filter("starts").select("sheet_id", "wall_id").join(placed, "wall_id").join(run, "head").select("sheet_id", "wall_id", "run_id", "place", "n_walls", "ax", "ay", "bx", "by", "thickness_ft")
-
-    of = members.select("wall_id", "run_id", "ax", "ay", "bx", "by", "thickness_ft")
-    at = ends.filter("usable").select(*node, "wall_id", "dx", "dy").join(of, "wall_id").join(ranks, "wall_id")
-    how = lambda p: F.when((F.col("x") == F.col(f"{p}_ax")) & (F.col("y") == F.col(f"{p}_ay")), "start").when((F.col("x") == F.col(f"{p}_bx")) & (F.col("y") == F.col(f"{p}_by")), "end").otherwise("path")
-    named = lambda d, p: d.select(*node, *[F.col(c).alias(f"{p}_{c}") for c in ("wall_id", "run_id", "dx", "dy", "ax", "ay", "bx", "by", "thickness_ft")])
-    corner = at.join(joints.filter("kind = 'L'"), node).withColumn("i", F.row_number().over(Window.partitionBy(*node).orderBy("rank", "run_id")))
-    corners = named(corner.filter("i = 2"), "g").join(named(corner.filter("i = 1"), "b"), node)
-    passing = through.filter("kind <> 'chain'")
-    stems = at.join(passing.select(*node, "before", "after"), node).filter("wall_id <> before and wall_id <> after")
-    stems = named(stems, "g").join(named(at.join(passing.select(*node, F.col("before").alias("wall_id")), [*node, "wall_id"]), "b"), node)
-    joined = corners.unionByName(stems)
-    sine = F.abs(F.col("g_dx") * F.col("b_dy") - F.col("g_dy") * F.col("b_dx"))
-    connections = joined.select(*node, F.col("g_run_id").alias("relating"), F.col("b_run_id").alias("related"), how("g").alias("relating_type"), how("b").alias("related_type"), ((sine >= PARALLEL) & (sine >= 1 / (2 * MOST_REACH))).alias("joined"))
+    lines = materialize(_lines(walls, partners), "lines")
+    going = partners.join(joints.filter(F.col("kind").isin("chain", "T", "X")), node)
+    # of the two lines at an X one goes through; elsewhere there is one
+    crossed = going.filter("kind = 'X'").join(lines.select(F.col("wall_id").alias("before"), "rank"), "before")
+    crossed = crossed.groupBy(*node, "kind").agg(F.min_by(F.struct("before", "after"), "rank").alias("p")).select(*node, "kind", "p.before", "p.after")
+    through = materialize(going.filter("kind <> 'X'").select(*node, "kind", "before", "after").unionByName(crossed), "through")
+    # a run is the part of a line from a wall that nothing goes through to up to the next such wall
+    onward = lines.join(through.select(F.col("after").alias("wall_id"), F.lit(True).alias("on")), "wall_id", "left")
+    first = F.max(F.when(F.col("on").isNull(), F.col("place"))).over(Window.partitionBy("head").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    run = Window.partitionBy("head", "first")
+    whole = {
+        "run_id": F.min("wall_id").over(run), "n_walls": F.count("*").over(run), "a": F.min(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"))).over(run),
+        "b": F.max(F.struct(F.col("ex").alias("x"), F.col("ey").alias("y"))).over(run), "thick": F.max("thickness_ft").over(run),
+    }
+    placed = onward.withColumn("first", first).withColumns(whole)
+    placed = placed.select("sheet_id", "wall_id", "run_id", (F.col("place") - F.col("first")).alias("place"), "n_walls", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("thick").alias("thickness_ft"), "rank")
+    placed = materialize(placed, "members")
+    discard(lines, partners)
+    members = placed.drop("rank")
+
+    how = lambda p: F.when((F.col("x") == F.col(f"{p}.ax")) & (F.col("y") == F.col(f"{p}.ay")), "start").when((F.col("x") == F.col(f"{p}.bx")) & (F.col("y") == F.col(f"{p}.by")), "end").otherwise("path")
+    at = ends.filter("usable").join(joints.filter(F.col("kind").isin("L", "T", "X")), node).join(through.select(*node, "before", "after"), node, "left")
+    at = at.join(placed.drop("sheet_id", "place", "n_walls", "thickness_ft"), "wall_id").withColumn("g", F.struct("run_id", "dx", "dy", "ax", "ay", "bx", "by"))
+    # the wall that owns the joint comes first: the one that goes through, or the first by rank at an L
+    owner = Window.partitionBy(*node).orderBy(F.coalesce(F.col("wall_id") != F.col("before"), F.lit(False)), "rank", "run_id")
+    met = at.withColumns({"i": F.row_number().over(owner), "b": F.first("g").over(owner)})
+    joined = met.filter((F.col("i") > 1) & F.coalesce(F.col("wall_id") != F.col("after"), F.lit(True)))
+    sine = F.abs(F.col("g.dx") * F.col("b.dy") - F.col("g.dy") * F.col("b.dx"))
+    connections = joined.select(*node, F.col("g.run_id").alias("relating"), F.col("b.run_id").alias("related"), how("g").alias("relating_type"), how("b").alias("related_type"), ((sine >= PARALLEL) & (sine >= 1 / (2 * MOST_REACH))).alias("joined"))
     return members, joints, connections
 
 
@@ -140,12 +155,12 @@ def run_outlines(members: DataFrame, connections: DataFrame) -> DataFrame:
         return F.struct((F.col("x") - uy * side_of * off).alias("x"), (F.col("y") + ux * side_of * off).alias("y"), (-uy * side_of).alias("dx"), (ux * side_of).alias("dy"))
 
     reach = 2 * MOST_REACH * (F.col("g_thickness_ft") + F.col("b_thickness_ft")) + 1
-    stops = d.select("sheet_id", F.col("relating").alias("run_id"), plane("g", "b", "relating_type", True).alias("keep"), F.lit(0.0).alias("at_start"), F.lit(0.0).alias("at_end"))
-    owns = d.filter("related_type <> 'path'").select(
-        "sheet_id", F.col("related").alias("run_id"), plane("b", "g", "related_type", False).alias("keep"),
-        F.when(F.col("related_type") == "start", reach).otherwise(0.0).alias("at_start"), F.when(F.col("related_type") == "end", reach).otherwise(0.0).alias("at_end"),
-    )
-    cuts = stops.unionByName(owns).groupBy("sheet_id", "run_id").agg(F.array_sort(F.collect_list("keep")).alias("keeps"), F.max("at_start").alias("at_start"), F.max("at_end").alias("at_end"))  # two ends, a cut each
+    zero = F.lit(0.0)
+    stops = F.struct(F.col("relating").alias("run_id"), plane("g", "b", "relating_type", True).alias("keep"), zero.alias("at_start"), zero.alias("at_end"))
+    longer = lambda how: F.when(F.col("related_type") == how, reach).otherwise(0.0)
+    owns = F.struct(F.col("related").alias("run_id"), plane("b", "g", "related_type", False).alias("keep"), longer("start").alias("at_start"), longer("end").alias("at_end"))
+    each = d.select("sheet_id", F.explode(F.array(stops, F.when(F.col("related_type") != "path", owns))).alias("c")).filter("c is not null").select("sheet_id", "c.*")
+    cuts = each.groupBy("sheet_id", "run_id").agg(F.array_sort(F.collect_list("keep")).alias("keeps"), F.max("at_start").alias("at_start"), F.max("at_end").alias("at_end"))  # two ends, a cut each
     d = runs.join(cuts, ["sheet_id", "run_id"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("at_start", "at_end")})
     size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     ux, uy, half = (F.col("bx") - F.col("ax")) / size, (F.col("by") - F.col("ay")) / size, F.col("thickness_ft") / 2
