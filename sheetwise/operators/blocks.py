@@ -25,10 +25,12 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tree edges a < b, labels id and root) of distinct edges a < b. Each round every tree takes its least edge to another
     one; the order of edges being total, no circle arises, and trees at least halve in number."""
     labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")), "labels")
-    trees = []
+    trees, crossing = [], edges
     while True:
         of = lambda end: labels.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
-        out = materialize(edges.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b"), "crossing")
+        last, out = crossing, materialize(crossing.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b"), "crossing")
+        if last is not edges:
+            discard(last)
         if out.isEmpty():
             break
         each = out.select(F.explode(F.array("root_a", "root_b")).alias("tree"), F.struct("a", "b", "root_a", "root_b").alias("e"))
@@ -36,8 +38,9 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = components(chosen.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         now = labels.join(joined.withColumnsRenamed({"id": "root", "component": "to"}), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         before, labels = labels, materialize(now, "labels")
-        discard(before, out, joined)
+        discard(before, joined)
         trees.append(chosen)
+        crossing = out  # an edge within a tree never leaves it
     if not trees:
         return edges.limit(0), labels
     tree = edges.sparkSession.read.schema(trees[0].schema).parquet(*[t.written_to for t in trees]).select("a", "b")
@@ -129,6 +132,7 @@ def wall_signals(walls: DataFrame, modes: tuple[float, ...] = (), tolerance_ft:
     """sheet_id, wall_id and three signals of walls (and source_ids). connectivity: by how many ends touch a wall of other
     sources. closure: 1 in a loop of touching walls (a biconnected part of three or more) as large as a building's, -1 only in
     smaller ones, 0 in none. thickness: whether it is one of ``modes``, 0 where none are known."""
+    walls = materialize(walls.select("sheet_id", "wall_id", "x0", "y0", "x1", "y1", "thickness_ft", "source_ids"), "signal-walls")
     met = materialize(touching_walls(walls), "touching")
     sources = walls.select("wall_id", "source_ids")
     own = met.join(sources, "wall_id").join(sources.select(F.col("wall_id").alias("other"), F.col("source_ids").alias("others")), "other")
