@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.geometry import clip_convex
 from sheetwise.operators.graph import list_places
-from sheetwise.runtime import discard, materialize
+from sheetwise.runtime import dealt, discard, materialize
 
 #: Sine of directions that count as one, and walls that take no part in a joint.
 PARALLEL, APART = 1e-7, "railing"
@@ -160,7 +160,8 @@ def run_outlines(members: DataFrame, connections: DataFrame) -> DataFrame:
     longer = lambda how: F.when(F.col("related_type") == how, reach).otherwise(0.0)
     owns = F.struct(F.col("related").alias("run_id"), plane("b", "g", "related_type", False).alias("keep"), longer("start").alias("at_start"), longer("end").alias("at_end"))
     each = d.select("sheet_id", F.explode(F.array(stops, F.when(F.col("related_type") != "path", owns))).alias("c")).filter("c is not null").select("sheet_id", "c.*")
-    cuts = each.groupBy("sheet_id", "run_id").agg(F.array_sort(F.collect_list("keep")).alias("keeps"), F.max("at_start").alias("at_start"), F.max("at_end").alias("at_end"))  # two ends, a cut each
+    # clipping takes long for its bytes, so that a stated number of partitions deals it
+    cuts = dealt(each, "sheet_id", "run_id").groupBy("sheet_id", "run_id").agg(F.array_sort(F.collect_list("keep")).alias("keeps"), F.max("at_start").alias("at_start"), F.max("at_end").alias("at_end"))  # two ends, a cut each
     d = runs.join(cuts, ["sheet_id", "run_id"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("at_start", "at_end")})
     size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     ux, uy, half = (F.col("bx") - F.col("ax")) / size, (F.col("by") - F.col("ay")) / size, F.col("thickness_ft") / 2
